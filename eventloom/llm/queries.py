@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import exact_dedup, mixing
+from eventloom.llm import bpe, embed_dedup, exact_dedup, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,12 +60,47 @@ SELECT doc_id, keep_id, group_size, turn = 1 AS kept, sha256(t) AS text_sha256 F
 """
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_column(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE unit AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), good AS (
+  SELECT vec_id, e FROM unit
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), linked AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach(u, v) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, l.v FROM reach r JOIN linked l ON r.v = l.u
+), comp AS (
+  SELECT u AS vec_id, min(v) AS component_id FROM reach GROUP BY u
+)
+SELECT c.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, c.vec_id = component_id AS kept
+FROM comp c LEFT JOIN (SELECT u, count(*) AS n FROM linked GROUP BY u) l ON c.vec_id = l.u
+"""
+
+
 def queries() -> dict:
     return {
         "op1_mix": op1_mix,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_quality": op3_quality,
+        "op4_bpe": op4_bpe,
+        "op5_embedding_near_dedup": op5_embedding_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op2_exact_dedup": OP2_SQL}
+    return {"op1_mix": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL}
