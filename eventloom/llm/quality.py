@@ -97,6 +97,12 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int =
             crop[: len(part)] = part
             crops.append(crop)
             y.append(label)
+        # a short piece too, for documents are short as well
+        piece = symbols[(at := int(r.integers(0, len(symbols)))) : at + int(r.integers(24, 240))]
+        crop = np.full(SEGMENT + STEP, PAD, np.int64)
+        crop[: len(piece)] = piece
+        crops.append(crop)
+        y.append(label)
     x, y = np.stack(crops), np.array(y, np.float64)
     share = np.clip(y.mean(), 0.01, 0.99)
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
@@ -134,13 +140,13 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 2400, crop: int = 2 * SEGMENT) -> Net:
-    """Trains on at most ``sample`` labelled rows, half of each class, those with the smallest hash of their ids, outside the
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, crop: int = 2 * SEGMENT) -> Net:
+    """Trains on at most ``sample`` labelled rows, a third of class 0, those with the smallest hash of their ids, outside the
     held-out fold; of a text longer than ``crop`` characters, a window at a place given by the id's hash. Both are bounds on
     what the driver reads; scoring has no such bound. Labels other than 0 and 1 and rows without id are ignored; without any
     usable label the network is untrained and scores 0.5."""
     own = labels.select(F.col("doc_id").alias("id_"), F.col("quality").cast("int").alias("y_")).where("id_ is not null and y_ in (0, 1)").where(~held_out(F.col("id_")))
-    picks = [own.where(F.col("y_") == y).orderBy(F.xxhash64("id_"), "id_").limit(sample // 2) for y in (0, 1)]
+    picks = [own.where(F.col("y_") == y).orderBy(F.xxhash64("id_"), "id_").limit(n) for y, n in ((0, sample // 3), (1, sample - sample // 3))]
     picked = {int(r.id_): int(r.y_) for r in picks[0].unionByName(picks[1]).collect()}
     room = F.greatest(F.length("text") - F.lit(crop), F.lit(0)) + 1
     window = F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), room) + 1).cast("int"), F.lit(crop))
