@@ -12,8 +12,11 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import new_path, remove, without_spaces, written
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, and no disk set aside in advance by each of its instances.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -28,8 +31,9 @@ def _first(df: DataFrame) -> DataFrame:
 def stream_state(prints: DataFrame, path: str, files: int = 64) -> DataFrame:
     """The final state of the stream over the table of digests at path: digest, first_, n_."""
     spark = prints.sparkSession
-    kept, checkpoint = spark.conf.get(PROVIDER, None), new_path(spark, "dedup-state")
-    spark.conf.set(PROVIDER, ROCKS)
+    kept, checkpoint = {k: spark.conf.get(k, None) for k in STATE}, new_path(spark, "dedup-state")
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream = spark.readStream.schema(prints.schema).option("maxFilesPerTrigger", files).parquet(path)
         query = _first(stream).writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -40,10 +44,11 @@ def stream_state(prints: DataFrame, path: str, files: int = 64) -> DataFrame:
         (first,) = [c for c in kinds if c != number]
         out = written(states.select("key.digest", F.col(f"value.`{first}`").alias("first_"), F.col(f"value.`{number}`").alias("n_")), "dedup-groups")
     finally:
-        if kept is None:
-            spark.conf.unset(PROVIDER)
-        else:
-            spark.conf.set(PROVIDER, kept)
+        for k, v in kept.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     remove(spark, checkpoint)
     return out
 
