@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, embed_dedup, exact_dedup, mixing, quality
+from eventloom.llm import bpe, embed_dedup, exact_dedup, license_scan, mixing, pii, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,18 @@ FROM comp c LEFT JOIN (SELECT u, count(*) AS n FROM linked GROUP BY u) l ON c.ve
 """
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_labels(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_mix": op1_mix,
@@ -99,6 +111,9 @@ def queries() -> dict:
         "op3_quality": op3_quality,
         "op4_bpe": op4_bpe,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
+        "op6_license_scan": op6_license_scan,
+        "op8_warc": op8_warc,
+        "op9_pii": op9_pii,
     }
 
 
