@@ -38,7 +38,7 @@ class License:
 
 #: Names are lower-case regexes; \s+ stands between words.
 LICENSES = (
-    License("mit", ("mit",), r"mit(?:\s+license)?", "mit"),
+    License("mit", ("mit",), r"mit\s+license|mit(?=[.,;:)\x22]|$)", "mit"),
     License("mit-0", ("mit-0",), r"mit\s+no\s+attribution(?:\s+license)?", "attribution"),
     License("apache-2", ("apache-2.0",), r"apache(?:\s+software)?\s+license,?\s+(?:version\s+|v\.?\s*)?2(?:\.0)?", "apache"),
     License("apache-1", ("apache-1.0", "apache-1.1"), r"apache(?:\s+software)?\s+license,?\s+(?:version\s+|v\.?\s*)?1\.[01]", "apache"),
@@ -79,24 +79,33 @@ LICENSES = (
     License("odbl-1", ("odbl-1.0",), r"open\s+(?:data\s+commons\s+open\s+)?database\s+license", "database"),
     License("odc-by-1", ("odc-by-1.0",), r"open\s+data\s+commons\s+attribution\s+license", "attribution"),
     License("pddl-1", ("pddl-1.0",), r"public\s+domain\s+dedication\s+and\s+license", "dedication"),
-    License("cc0-1", ("cc0-1.0",), r"(?:cc0|creative\s+commons\s+zero)(?:\s+1\.0)?", "c"),
-    License("cc-by", ("cc-by-1.0", "cc-by-2.0", "cc-by-3.0", "cc-by-4.0"), r"(?:creative\s+commons\s+attribution|cc[\s-]by)(?![\s-]*(?:n|s|share|no))", "c"),
-    License("cc-by-sa", ("cc-by-sa-2.0", "cc-by-sa-3.0", "cc-by-sa-4.0"), r"(?:creative\s+commons\s+attribution[\s-]+share\s*-?alike|cc[\s-]by[\s-]sa)", "c"),
-    License("cc-by-nd", ("cc-by-nd-3.0", "cc-by-nd-4.0"), r"(?:creative\s+commons\s+attribution[\s-]+no\s*-?deriv\w*|cc[\s-]by[\s-]nd)", "c"),
-    License("cc-by-nc", ("cc-by-nc-2.0", "cc-by-nc-3.0", "cc-by-nc-4.0"), r"(?:creative\s+commons\s+attribution[\s-]+non\s*-?commercial|cc[\s-]by[\s-]nc)(?![\s-]*(?:n|s|share|no))", "c"),
-    License("cc-by-nc-sa", ("cc-by-nc-sa-3.0", "cc-by-nc-sa-4.0"), r"(?:creative\s+commons\s+attribution[\s-]+non\s*-?commercial[\s-]+share\s*-?alike|cc[\s-]by[\s-]nc[\s-]sa)", "c"),
-    License("cc-by-nc-nd", ("cc-by-nc-nd-3.0", "cc-by-nc-nd-4.0"), r"(?:creative\s+commons\s+attribution[\s-]+non\s*-?commercial[\s-]+no\s*-?deriv\w*|cc[\s-]by[\s-]nc[\s-]nd)", "c"),
+    License("cc0-1", ("cc0-1.0",), r"cc0(?:\s+1\.0)?", "cc0"),
+    License("cc-by", ("cc-by-1.0", "cc-by-2.0", "cc-by-3.0", "cc-by-4.0"), r"cc[\s-]by(?![\s-]*(?:n|s))", "cc"),
+    License("cc-by-sa", ("cc-by-sa-2.0", "cc-by-sa-3.0", "cc-by-sa-4.0"), r"cc[\s-]by[\s-]sa", "cc"),
+    License("cc-by-nd", ("cc-by-nd-3.0", "cc-by-nd-4.0"), r"cc[\s-]by[\s-]nd", "cc"),
+    License("cc-by-nc", ("cc-by-nc-2.0", "cc-by-nc-3.0", "cc-by-nc-4.0"), r"cc[\s-]by[\s-]nc(?![\s-]*(?:n|s))", "cc"),
+    License("cc-by-nc-sa", ("cc-by-nc-sa-3.0", "cc-by-nc-sa-4.0"), r"cc[\s-]by[\s-]nc[\s-]sa", "cc"),
+    License("cc-by-nc-nd", ("cc-by-nc-nd-3.0", "cc-by-nc-nd-4.0"), r"cc[\s-]by[\s-]nc[\s-]nd", "cc"),
+    License("cc0-1", (), r"creative\s+commons\s+zero(?:\s+1\.0)?", "creative"),
+    License("cc-by", (), r"creative\s+commons\s+attribution(?![\s-]*(?:non|share|no))", "creative"),
+    License("cc-by-sa", (), r"creative\s+commons\s+attribution[\s-]+share\s*-?alike", "creative"),
+    License("cc-by-nd", (), r"creative\s+commons\s+attribution[\s-]+no\s*-?deriv\w*", "creative"),
+    License("cc-by-nc", (), r"creative\s+commons\s+attribution[\s-]+non\s*-?commercial(?![\s-]*(?:share|no))", "creative"),
+    License("cc-by-nc-sa", (), r"creative\s+commons\s+attribution[\s-]+non\s*-?commercial[\s-]+share\s*-?alike", "creative"),
+    License("cc-by-nc-nd", (), r"creative\s+commons\s+attribution[\s-]+non\s*-?commercial[\s-]+no\s*-?deriv\w*", "creative"),
     License("proprietary", (), r"all\s+rights\s+reserved", "reserved"),
 )
 
-#: How a name is met, from the strongest: priority, regex around {name}. A bare name of a word or two says too little.
+#: How a name is met, from the strongest: priority, what the lowered text must hold besides the name's keyword, and the
+#: regex around {name}.
 FORMS = (
-    (90, r"(?:is\s+|are\s+)?(?:licen[cs]ed|released|distributed|published|available|redistributable)\s+under\s+(?:the\s+terms\s+of\s+)?(?:the\s+)?{name}(?:\s+licen[cs]e)?"),
-    (80, r"(?:subject\s+to|governed\s+by|according\s+to|covered\s+by)\s+(?:the\s+terms\s+of\s+)?(?:the\s+)?{name}"),
-    (70, r"licen[cs]e\s*[:=]\s*(?:the\s+)?{name}"),
-    (60, r"under\s+(?:the\s+terms\s+of\s+)?(?:the\s+)?{name}"),
-    (40, r"(?:the\s+)?{name}"),
+    (90, "under", r"(?:is\s+|are\s+)?(?:licen[cs]ed|released|distributed|published|available|redistributable)\s+under\s+(?:the\s+terms\s+of\s+)?(?:the\s+)?{name}(?:\s+licen[cs]e)?"),
+    (80, "the", r"(?:subject\s+to|governed\s+by|according\s+to|covered\s+by)\s+(?:the\s+terms\s+of\s+)?(?:the\s+)?{name}"),
+    (70, "licen", r"licen[cs]e\s*[:=]\s*(?:the\s+)?{name}"),
+    (60, "under", r"under\s+(?:the\s+terms\s+of\s+)?(?:the\s+)?{name}"),
+    (40, "", r"(?:the\s+)?{name}"),
 )
+#: The bare name says too little here.
 BARE_TOO_SHORT = frozenset({"mit"})
 #: Without one of these in a text no rule can match; every rule's regex needs one.
 GATE = r"(?i)licen[cs]e|licen[cs]ed|spdx|cc0|cc[ -]by|creative\s+commons|rights\s+reserved"
@@ -106,17 +115,18 @@ def edge(regex: str) -> str:
     return rf"(?<![a-z0-9])(?:{regex})(?![a-z0-9])"
 
 
-def rules() -> list[tuple[str, str, str, int]]:
-    """(keyword, regex over texts lowered in A-Z, label, priority), the strongest first: forms by license and SPDX tags."""
+def rules() -> list[tuple[str, str, str, str, int]]:
+    """(keyword, second keyword, regex over texts lowered in A-Z, label, priority), the strongest first: forms by license
+    and SPDX tags. A form without a word of its own has the name's keyword twice."""
     out = []
     for x in LICENSES:
-        for priority, form in FORMS:
+        for priority, word, form in FORMS:
             if x.label == "proprietary" and priority != 40 or x.label in BARE_TOO_SHORT and priority == 40:
                 continue
-            out.append((x.keyword, edge(form.format(name=x.name)), x.label, priority))
+            out.append((x.keyword, word or x.keyword, edge(form.format(name=f"(?:{x.name})")), x.label, priority))
         for spdx in x.spdx:
-            out.append((spdx, edge(r"spdx-license-identifier\s*:\s*" + spdx.replace(".", r"\.")), x.label, 100))
-    return sorted(out, key=lambda r: -r[3])
+            out.append(("spdx-license-identifier", spdx, edge(r"spdx-license-identifier\s*:\s*" + spdx.replace(".", r"\.")), x.label, 100))
+    return sorted(out, key=lambda r: -r[4])
 
 
 def words_in(text: Column) -> Column:
@@ -143,9 +153,9 @@ def lowered(text: Column) -> Column:
 
 def detections(text: Column) -> Column:
     """All rules' matches in text: array<struct<s, e, label, priority>>; text is lowered in A-Z."""
-    listed = json.dumps([dict(zip("krlp", rule, strict=True)) for rule in rules()])
-    constant = F.from_json(F.lit(listed), "array<struct<k:string,r:string,l:string,p:int>>")  # folded when planned
-    held = F.filter(constant, lambda x: F.contains(text, x["k"]))
+    listed = json.dumps([dict(zip("kfrlp", rule, strict=True)) for rule in rules()])
+    constant = F.from_json(F.lit(listed), "array<struct<k:string,f:string,r:string,l:string,p:int>>")  # folded when planned
+    held = F.filter(constant, lambda x: F.contains(text, x["k"]) & F.contains(text, x["f"]))
 
     def of(rule: Column) -> Column:
         gaps, hits = F.split(text, rule["r"], -1), F.regexp_extract_all(text, rule["r"], F.lit(0))
@@ -156,10 +166,10 @@ def detections(text: Column) -> Column:
             e = s + F.length(x["hit"])
             return F.struct(e.alias("at"), F.concat(acc["all"], F.array(F.struct(s.alias("s"), e.alias("e"), rule["l"].alias("label"), rule["p"].alias("priority")))).alias("all"))
 
-        pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
+        pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
         return F.aggregate(pairs, start, step, lambda acc: acc["all"])
 
-    return F.flatten(F.transform(held, of))
+    return F.flatten(F.transform(F.filter(held, lambda rule: F.rlike(text, rule["r"])), of))
 
 
 def standing(found: Column) -> Column:
@@ -183,7 +193,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.expr("cast(array() as array<struct<s:int,e:int,label:string,priority:int>>)")
-    raw = F.when(text.rlike(GATE), detections(lowered(text))).otherwise(none)
+    # as an element of an array, so that the text is lowered once and not once for every rule
+    raw = F.when(text.rlike(GATE), F.element_at(F.transform(F.array(lowered(text)), detections), 1)).otherwise(none)
     got = docs.select("doc_id", words_in(text).cast("long").alias("n_words"), F.array(*[phrase_starts(text, p) for p, _ in PHRASES]).alias("base"), raw.alias("raw"))
     starts = F.flatten("base")
     labels = F.filter(F.transform("base", lambda x, i: F.when(F.size(x) > 0, F.element_at(F.array(*[F.lit(v) for _, v in PHRASES]), i + 1))), lambda v: v.isNotNull())
