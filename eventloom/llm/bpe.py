@@ -19,8 +19,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text whose words are replayed together.
-SLAB = 6_000_000
+from eventloom.llm.common import text_slabs
+
+#: Bytes of text whose words are replayed together.
+SLAB = 12_000_000
 
 
 class Vocabulary:
@@ -157,19 +159,16 @@ def encode_column(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Fal
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
+    kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, words = loaded(path), regex.compile(pattern)
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            sizes = texts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) if hasattr(texts, "value_lengths") else pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
-            slab = np.cumsum(sizes, dtype=np.int64) // SLAB
-            for a in np.flatnonzero(np.concatenate([[True], slab[1:] != slab[:-1]])) if len(slab) else []:
-                b = np.searchsorted(slab, slab[a], "right")
-                out = []
-                for doc_id, row in zip(ids[a:b], encode([t or "" for t in texts[a:b].to_pylist()], vocabulary, words), strict=True):
-                    one = {"doc_id": doc_id, "n_tokens": len(row), "ids_sha256": hashlib.sha256(row.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(vocabulary.decode(row)).hexdigest()}
-                    out.append(one | ({"ids": row.astype(np.int32)} if keep_ids else {}))
-                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * keep_ids))
+        for part, texts in text_slabs(batches, 1, SLAB):
+            out = []
+            for doc_id, row in zip(part.column(0).to_pylist(), encode(texts, vocabulary, words), strict=True):
+                one = {"doc_id": doc_id, "n_tokens": len(row), "ids_sha256": hashlib.sha256(row.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(vocabulary.decode(row)).hexdigest()}
+                out.append(one | ({"ids": row.astype(np.int32)} if keep_ids else {}))
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)
 

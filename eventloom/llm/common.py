@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no spark.checkpoint.dir, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: The white space that the contracts name: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\f\r"
 
@@ -26,9 +32,14 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, what)
+    kept = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the shuffle files of this job are of no use after it
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -63,6 +74,17 @@ def unit_hash(seed: str, *cols: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
+def text_slabs(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with their texts, of about ``size`` bytes of text each; null texts are empty."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        slab = np.cumsum(sizes, dtype=np.int64) // size
+        cuts = np.flatnonzero(np.concatenate([[True], slab[1:] != slab[:-1]])).tolist() if len(slab) else []
+        for a, b in zip(cuts, [*cuts[1:], len(slab)], strict=False):
+            part = batch.slice(a, b - a)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: edges (u, v) of longs -> (node, root), root the smallest node reachable.
 

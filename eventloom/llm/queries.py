@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm import bpe, embed_dedup, exact_dedup, license_scan, mixing, pii, quality, warc
+from eventloom.llm import bpe, embed_dedup, exact_dedup, jaccard_join, license_scan, mixing, pii, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,43 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), firsts AS (
+  SELECT doc_id, n, min(doc_id) OVER (PARTITION BY n, t) AS first FROM
+    (SELECT doc_id, count(*) AS n, md5(string_agg(s, '|' ORDER BY s)) AS t FROM shingles GROUP BY doc_id)
+), own AS (
+  SELECT s.doc_id, s.s, f.n FROM shingles s JOIN firsts f ON s.doc_id = f.doc_id AND f.first = f.doc_id
+), rare AS (
+  SELECT doc_id, s, n, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS turn FROM (SELECT *, count(*) OVER (PARTITION BY s) AS df FROM own)
+), met AS (
+  SELECT DISTINCT a.doc_id AS u, b.doc_id AS v, a.n AS nu, b.n AS nv FROM rare a JOIN rare b ON a.s = b.s AND a.doc_id < b.doc_id
+  WHERE 10 * (a.turn - 1) <= a.n AND 10 * (b.turn - 1) <= b.n AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+), linked AS (
+  SELECT u, v FROM met JOIN own a ON a.doc_id = u JOIN own b ON b.doc_id = v AND a.s = b.s GROUP BY u, v, nu, nv
+  HAVING 100 * count(*) >= 90 * (nu + nv - count(*))
+), both_ways AS (
+  SELECT u, v FROM linked UNION SELECT v, u FROM linked
+), reach(u, v) AS (
+  SELECT first, first FROM firsts UNION SELECT r.u, l.v FROM reach r JOIN both_ways l ON r.v = l.u
+), comp AS (
+  SELECT u, min(v) AS c FROM reach GROUP BY u
+)
+SELECT d.doc_id, CAST(coalesce(f.n, 0) AS BIGINT) AS n_shingles, coalesce(c, d.doc_id) AS component_id
+FROM documents d LEFT JOIN firsts f ON d.doc_id = f.doc_id LEFT JOIN comp ON f.first = comp.u
+"""
+
+
 def queries() -> dict:
     return {
         "op1_mix": op1_mix,
@@ -114,8 +151,9 @@ def queries() -> dict:
         "op6_license_scan": op6_license_scan,
         "op8_warc": op8_warc,
         "op9_pii": op9_pii,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL}
+    return {"op1_mix": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL, "op10_jaccard_join": OP10_SQL}
