@@ -1,59 +1,23 @@
-"""What the operators share: the cluster's shared folder, tables that cut lineage, and connected components."""
+"""What the operators share: text helpers and connected components, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in local tests.
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+from eventloom.shared import forget, new_path, remove, shared_dir, written
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+__all__ = ["connected_components", "forget", "new_path", "remove", "shared_dir", "text_slabs", "unit_hash", "without_spaces", "word_count", "written"]
 
 #: The white space that the contracts name: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or a local one where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or LOCAL_CHECKPOINTS).rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, what)
-    kept = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")  # the shuffle files of this job are of no use after it
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, kept)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table or folder that no later plan reads."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table made by written()."""
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()[:1]}:
-        remove(df.sparkSession, folder)
-
-
 def without_spaces(text: Column) -> Column:
     """text without the characters of SPACES; null counts as empty."""
     out = F.coalesce(text, F.lit(""))
