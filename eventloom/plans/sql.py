@@ -37,7 +37,7 @@ def parsed_nodes(spark: SparkSession, statement: str) -> list[str]:
 def check_read_only(spark: SparkSession, statement: str) -> None:
     """Raises unless every node of the parsed statement is one of a query's; text tricks such as leading comments do not help."""
     for name in parsed_nodes(spark, statement):
-        if name.strip("'").split("(")[0].strip() not in READS:
+        if name.strip("'").split("(")[0].split()[0] not in READS:
             raise NotReadOnly(f"only queries are allowed, not {name}")
 
 
