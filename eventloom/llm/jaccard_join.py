@@ -273,7 +273,7 @@ def split(regions: DataFrame, percent: int, level: int, salts: int = 16) -> Data
     chosen = regions.groupBy("region").agg(*least).select("region", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("doc_id"))
     pivots = regions.join(chosen, ["region", "doc_id"]).groupBy("region").agg(F.sort_array(F.collect_set(F.struct("doc_id", "set"))).alias("pivots"))
     dealt = regions.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    met = dealt.join(pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), ["region", "salt"])
+    met = dealt.join(pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["region", "salt"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
