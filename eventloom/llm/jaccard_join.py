@@ -346,7 +346,8 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = L
         for part, texts in text_slabs(batches, 2, SLAB):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.tobytes() for s in shingle_sets([t.encode("utf-8", "replace") for t in texts], words)], pa.binary())], ["region", "doc_id", "set"])
 
-    held = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(groups, "node")
+    # by merge at every size: the groups grow with the input, so a plan that holds for small inputs only is of no use
+    held = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(groups.hint("merge"), "node")
     members = held.select(F.col("root").cast("string").alias("region"), F.col("node").alias("doc_id"), "text").mapInArrow(sets, "region string, doc_id long, set binary")
     regions = written(members.where(F.octet_length("set") > 0), "jaccard-members")
     tables = join_regions(regions, percent, leaf)
