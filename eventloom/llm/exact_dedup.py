@@ -59,12 +59,12 @@ def exact_dedup(docs: DataFrame, digest=sha256, salts: int = 16) -> DataFrame:
     Texts are equal when they are identical without white space ([\\x20\\x09-\\x0D]); null counts as empty, so all null,
     empty and blank texts are one group. The row with the most code points in its text stays, then the smallest doc_id
     (null last); of rows repeated with one doc_id exactly one stays. Empty tables give no rows. Other columns are ignored.
-    The digest decides the state's key; equality is decided by the full texts of the hits.
+    The locator is the row's partition and place in it. The digest decides the state's key; equality is decided by the full texts of the hits.
     """
     spark = docs.sparkSession
     norm = without_spaces(F.col("text"))
     length = F.coalesce(F.length("text"), F.lit(0))
-    row = F.struct((-length).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", F.monotonically_increasing_id().alias("rid"), F.input_file_name().alias("locator"))
+    row = F.struct((-length).alias("neg"), F.col("doc_id").isNull().alias("no_id"), "doc_id", F.monotonically_increasing_id().alias("locator"))
     path = new_path(spark, "dedup-digests")
     docs.select(digest(norm).alias("digest"), row.alias("row_"), sha256(norm).alias("text_sha256")).write.parquet(path)
     prints = spark.read.parquet(path)
@@ -88,7 +88,7 @@ def exact_dedup(docs: DataFrame, digest=sha256, salts: int = 16) -> DataFrame:
         F.col("row_.doc_id").alias("doc_id"),
         F.col("first_.doc_id").alias("keep_id"),
         F.col("n_").cast("long").alias("group_size"),
-        (F.col("row_.rid") == F.col("first_.rid")).alias("kept"),
+        (F.col("row_.locator") == F.col("first_.locator")).alias("kept"),
         "text_sha256",
     )
 

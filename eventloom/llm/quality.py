@@ -55,16 +55,17 @@ def segments_of(text: bytes) -> tuple[np.ndarray, int]:
 
 
 def logits(net: Net, texts: list[bytes]) -> np.ndarray:
-    """Mean segment logit of every text. A chunk at the seam of two texts counts for neither: one step of padding lies between."""
+    """Mean segment logit of every text. One step of padding lies between texts; the chunk that begins there counts for none."""
     parts, starts, owner, at = [], [], [], 0
     for i, text in enumerate(texts):
         symbols, n = segments_of(text)
         parts += [symbols, np.full(STEP, PAD, np.int16)]
-        starts.append(at // STEP + np.arange(n) * (SEGMENT // STEP))
-        owner.append(np.full(n, i))
+        starts.append(np.append(at // STEP + np.arange(n) * (SEGMENT // STEP), (at + len(symbols)) // STEP))
+        owner.append(np.append(np.full(n, i), -1))
         at += len(symbols) + STEP
     top = np.maximum.reduceat(responses(net, np.concatenate(parts)), np.concatenate(starts), axis=0)
     own = np.concatenate(owner)
+    top, own = top[own >= 0], own[own >= 0]
     each = np.maximum(top, 0) @ net.out + net.out_bias
     return np.bincount(own, each, len(texts)) / np.bincount(own, minlength=len(texts))
 
@@ -92,14 +93,14 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int =
     for text, label in zip(texts, labels, strict=True):
         symbols, n = segments_of(text)
         for k in range(n):
-            crop = np.full(SEGMENT + STEP, PAD, np.int64)
+            crop = np.full(SEGMENT + STEP, PAD, np.int16)
             part = symbols[k * SEGMENT : (k + 1) * SEGMENT]
             crop[: len(part)] = part
             crops.append(crop)
             y.append(label)
         # a short piece too, for documents are short as well
         piece = symbols[(at := int(r.integers(0, len(symbols)))) : at + int(r.integers(24, 240))]
-        crop = np.full(SEGMENT + STEP, PAD, np.int64)
+        crop = np.full(SEGMENT + STEP, PAD, np.int16)
         crop[: len(piece)] = piece
         crops.append(crop)
         y.append(label)
