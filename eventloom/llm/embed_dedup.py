@@ -27,6 +27,7 @@ BLOCK = 1 << 16  #: surviving pairs decided at once
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
     """Rows in double precision and of length 1; scaled first, so that no square over- or underflows."""
+    x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
@@ -55,8 +56,8 @@ def rotation(good: DataFrame, dims: int) -> np.ndarray:
     return np.ascontiguousarray(axes[:, np.argsort(-values, kind="stable")])
 
 
-def tiles_of(good: DataFrame, axes: np.ndarray, tile: int) -> DataFrame:
-    """Tiles: tile, lo and hi on the first axis, the rows' vec_id and their components, a tile by row."""
+def tiles_of(good: DataFrame, axes: np.ndarray, tile: int, held: type) -> DataFrame:
+    """Tiles: tile, lo and hi on the first axis, the rows' vec_id and their components as given, of type ``held``, a tile by row."""
     dims = len(axes)
     first = axes[:, 0].tolist()
 
@@ -64,12 +65,12 @@ def tiles_of(good: DataFrame, axes: np.ndarray, tile: int) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x = np.array(b.column(1).to_pylist(), np.float64).reshape(-1, dims)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(unit_rows(x) @ first)], ["vec_id", "x", "at"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x.astype(held)], pa.binary()), pa.array(unit_rows(x) @ first)], ["vec_id", "x", "at"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, k, held, n = TaskContext.get().partitionId() << 24, 0, [], 0
+        base, k, waiting, n = TaskContext.get().partitionId() << 24, 0, [], 0
 
         def out(part: pa.Table) -> pa.RecordBatch:
             at = part.column("at").to_numpy()
@@ -78,14 +79,14 @@ def tiles_of(good: DataFrame, axes: np.ndarray, tile: int) -> DataFrame:
 
         kind = pa.schema([("tile", pa.int64()), ("lo", pa.float64()), ("hi", pa.float64()), ("ids", pa.list_(pa.int64())), ("xs", pa.binary())])
         for b in batches:
-            held.append(b)
+            waiting.append(b)
             n += b.num_rows
             while n >= tile:
-                rows = pa.Table.from_batches(held)
+                rows = pa.Table.from_batches(waiting)
                 yield out(rows.slice(0, tile))
-                held, n, k = rows.slice(tile).to_batches(), n - tile, k + 1
+                waiting, n, k = rows.slice(tile).to_batches(), n - tile, k + 1
         if n:
-            yield out(pa.Table.from_batches(held))
+            yield out(pa.Table.from_batches(waiting))
 
     placed = written(good.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(place, "vec_id long, x binary, at double"), "vectors")
     count = placed.count()
@@ -164,7 +165,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
         return alone.withColumn("kept", F.lit(True))
     good = marked.where("fit_")
     axes = rotation(good, dims)
-    tiles = tiles_of(good, axes, tile)
+    held = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
+    tiles = tiles_of(good, axes, tile, held)
 
     # tiles meet where their ranges, each widened by the farthest that linked unit vectors can be apart, share a cell
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK)
@@ -181,7 +183,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
         for batch in batches:
             for r in range(batch.num_rows):
                 t1, t2, n1, n2, x1, x2 = (batch.column(c)[r].as_py() for c in ("tile", "tile2", "n", "n2", "xs", "xs2"))
-                a, b = np.frombuffer(x1).reshape(n1, dims), np.frombuffer(x2).reshape(n2, dims)
+                a, b = np.frombuffer(x1, held).reshape(n1, dims), np.frombuffer(x2, held).reshape(n2, dims)
                 same = t1 == t2
                 size = n1 if same else n1 + n2
                 count, label = np.zeros(size, np.int64), np.arange(size)
