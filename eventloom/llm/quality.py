@@ -1,8 +1,8 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Learned filters read overlapping chunks of CHUNK bytes, every STEP bytes, over the whole document. Their responses are
-max-pooled over segments; a linear layer gives every segment a logit, and the document's probability is the logistic
-function of the mean logit of its segments. Scoring runs in tasks over Arrow batches, with weights of fixed size.
+max-pooled over segments; two layers over the pooled responses and the segment's length give every segment a logit, and the
+document's probability is the logistic function of the mean logit of its segments. Scoring runs in tasks over Arrow batches, with weights of fixed size.
 """
 
 from __future__ import annotations
@@ -27,15 +27,23 @@ class Net:
     left: np.ndarray  # (STEP * E, F): filter over the chunk's first half
     right: np.ndarray  # (STEP * E, F): filter over its second half
     bias: np.ndarray  # (F,)
-    out: np.ndarray  # (F,)
+    hidden: np.ndarray  # (F + 1, H): over pooled responses and the segment's length
+    hidden_bias: np.ndarray  # (H,)
+    out: np.ndarray  # (H,)
     out_bias: float
 
 
-def untrained(seed: int = 7, e: int = 8, f: int = 24) -> Net:
+def untrained(seed: int = 7, e: int = 8, f: int = 24, h: int = 16) -> Net:
     r = np.random.default_rng(seed)
     w = lambda *shape: (r.standard_normal(shape) * (0.5 / np.sqrt(STEP * e))).astype(np.float32)
     embed = r.standard_normal((257, e)).astype(np.float32)
-    return Net(embed, w(STEP * e, f), w(STEP * e, f), np.zeros(f, np.float32), np.zeros(f, np.float32), 0.0)
+    hidden = (r.standard_normal((f + 1, h)) * np.sqrt(2 / (f + 1))).astype(np.float32)
+    return Net(embed, w(STEP * e, f), w(STEP * e, f), np.zeros(f, np.float32), hidden, np.zeros(h, np.float32), np.zeros(h, np.float32), 0.0)
+
+
+def pooled(top: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Inputs of the hidden layer: pooled responses and the segment's length, as its logarithm."""
+    return np.hstack([np.maximum(top, 0), np.log2(steps + 1).astype(np.float32)[:, None] / 8])
 
 
 def responses(net: Net, symbols: np.ndarray) -> np.ndarray:
@@ -56,17 +64,19 @@ def segments_of(text: bytes) -> tuple[np.ndarray, int]:
 
 def logits(net: Net, texts: list[bytes]) -> np.ndarray:
     """Mean segment logit of every text. One step of padding lies between texts; the chunk that begins there counts for none."""
-    parts, starts, owner, at = [], [], [], 0
+    parts, starts, owner, steps, at = [], [], [], [], 0
     for i, text in enumerate(texts):
         symbols, n = segments_of(text)
         parts += [symbols, np.full(STEP, PAD, np.int16)]
         starts.append(np.append(at // STEP + np.arange(n) * (SEGMENT // STEP), (at + len(symbols)) // STEP))
         owner.append(np.append(np.full(n, i), -1))
+        steps.append(np.append(np.minimum(SEGMENT, len(symbols) - np.arange(n) * SEGMENT) // STEP, 1))
         at += len(symbols) + STEP
     top = np.maximum.reduceat(responses(net, np.concatenate(parts)), np.concatenate(starts), axis=0)
     own = np.concatenate(owner)
-    top, own = top[own >= 0], own[own >= 0]
-    each = np.maximum(top, 0) @ net.out + net.out_bias
+    x = pooled(top, np.concatenate(steps))[own >= 0]
+    own = own[own >= 0]
+    each = np.maximum(x @ net.hidden + net.hidden_bias, 0) @ net.out + net.out_bias
     return np.bincount(own, each, len(texts)) / np.bincount(own, minlength=len(texts))
 
 
@@ -84,12 +94,13 @@ def probabilities(net: Net, texts: list[bytes]) -> np.ndarray:
 
 
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Net:
-    """Adam on segments of the texts, each with its document's label; both classes weigh the same. Rows' order decides nothing
+    """Adam on segments of the texts, each with its document's label; both classes weigh the same; the weights are
+    the mean of those in the last quarter of the epochs. Rows' order decides nothing
     but the order of the batches, so equal rows in equal order give equal weights."""
     net, r = untrained(seed), np.random.default_rng(seed)
     if not texts:
         return net
-    crops, y = [], []
+    crops, y, steps = [], [], []
     for text, label in zip(texts, labels, strict=True):
         symbols, n = segments_of(text)
         for k in range(n):
@@ -98,29 +109,35 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int =
             crop[: len(part)] = part
             crops.append(crop)
             y.append(label)
+            steps.append(len(part) // STEP)
         # a short piece too, for documents are short as well
         piece = symbols[(at := int(r.integers(0, len(symbols)))) : at + int(r.integers(24, 240))]
         crop = np.full(SEGMENT + STEP, PAD, np.int16)
         crop[: len(piece)] = piece
         crops.append(crop)
         y.append(label)
+        steps.append(-(-len(piece) // STEP))
+    steps = np.array(steps)
     x, y = np.stack(crops), np.array(y, np.float64)
     share = np.clip(y.mean(), 0.01, 0.99)
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    p = {"embed": net.embed.copy(), "left": net.left.copy(), "right": net.right.copy(), "bias": net.bias.copy(), "out": (r.standard_normal(len(net.out)) * 0.1).astype(np.float32), "out_bias": np.zeros(1, np.float32)}
+    p = {"embed": net.embed.copy(), "left": net.left.copy(), "right": net.right.copy(), "bias": net.bias.copy(), "hidden": net.hidden.copy(), "hidden_bias": net.hidden_bias.copy(), "out": (r.standard_normal(len(net.out)) * 0.1).astype(np.float32), "out_bias": np.zeros(1, np.float32)}
     m, v, t = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
     e, f = p["embed"].shape[1], len(p["bias"])
-    for _ in range(epochs):
+    total, taken = {k: np.zeros(a.shape, np.float64) for k, a in p.items()}, 0
+    for epoch in range(epochs):
         for at in np.array_split(r.permutation(len(x)), max(1, len(x) // batch)):
-            now = Net(p["embed"], p["left"], p["right"], p["bias"], p["out"], 0.0)
+            now = Net(*(p[k] for k in ("embed", "left", "right", "bias", "hidden", "hidden_bias", "out")), 0.0)
             crop, n = x[at], len(at)
             z = responses(now, crop.reshape(-1)).reshape(n, -1, f)[:, :-1]  # the last step is padding
             best = z.argmax(axis=1)  # (n, f)
             top = np.take_along_axis(z, best[:, None], 1)[:, 0]
-            act = np.maximum(top, 0)
+            joined = pooled(top, steps[at])
+            act = np.maximum(joined @ p["hidden"] + p["hidden_bias"], 0)
             logit = act @ p["out"] + p["out_bias"]
-            err = ((1 / (1 + np.exp(-logit)) - y[at]) * weight[at] / n).astype(np.float32)
-            g_top = (err[:, None] * p["out"]) * (top > 0)
+            err = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[at]) * weight[at] / n).astype(np.float32)
+            g_act = (err[:, None] * p["out"]) * (act > 0)
+            g_top = (g_act @ p["hidden"].T)[:, :f] * (top > 0)
             # only the winning chunks have gradients
             where = best[:, :, None] * STEP + np.arange(CHUNK)  # (n, f, CHUNK)
             sym = np.take_along_axis(crop, where.reshape(n, -1), 1).reshape(n, f, CHUNK)
@@ -128,13 +145,18 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int =
             g_w = np.einsum("nf,nfk->kf", g_top, seen)
             g_x = (g_top[:, :, None] * np.vstack([p["left"], p["right"]]).T[None]).reshape(-1, e)
             g_embed = np.stack([np.bincount(sym.ravel(), g_x[:, k], 257) for k in range(e)], 1).astype(np.float32)
-            g = {"embed": g_embed, "left": g_w[: STEP * e], "right": g_w[STEP * e :], "bias": g_top.sum(0), "out": act.T @ err, "out_bias": np.array([err.sum()], np.float32)}
+            g = {"embed": g_embed, "left": g_w[: STEP * e], "right": g_w[STEP * e :], "bias": g_top.sum(0), "hidden": joined.T @ g_act, "hidden_bias": g_act.sum(0), "out": act.T @ err, "out_bias": np.array([err.sum()], np.float32)}
             t += 1
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                 p[k] = (p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    return Net(p["embed"], p["left"], p["right"], p["bias"], p["out"], float(p["out_bias"][0]))
+            if epoch >= epochs - max(1, epochs // 4):
+                taken += 1
+                for k in p:
+                    total[k] += p[k]
+    p = {k: (a / taken).astype(np.float32) for k, a in total.items()}
+    return Net(*(p[k] for k in ("embed", "left", "right", "bias", "hidden", "hidden_bias", "out")), float(p["out_bias"][0]))
 
 
 def held_out(doc_id):
