@@ -19,11 +19,9 @@ def event_frequency(events: DataFrame, unit: str = "day", by: tuple[str, ...] =
     if not fill:
         return counts
     step = "30 days" if unit == "month" and compat_month_step else STEP[unit]
-    span = events.agg(F.date_trunc(unit, F.min("timestamp")).alias("lo"), F.date_trunc(unit, F.max("timestamp")).alias("hi"))
-    buckets = span.where("lo is not null").select(F.explode(F.sequence("lo", "hi", F.expr(f"interval {step}"))).alias("bucket"))
-    if by:
-        keys = counts.select(*by).distinct()
-        buckets = buckets.join(F.broadcast(keys))  # as many rows as the result
+    span = events.agg(F.date_trunc(unit, F.min("timestamp")).alias("lo"), F.date_trunc(unit, F.max("timestamp")).alias("hi")).where("lo is not null")
+    each = counts.select(*by).distinct().join(F.broadcast(span)) if by else span  # the span is one row
+    buckets = each.select(*by, F.explode(F.sequence("lo", "hi", F.expr(f"interval {step}"))).alias("bucket"))
     got = buckets.join(counts, ["bucket", *by], "left")
     return got.select("bucket", *by, F.coalesce("n", F.lit(0)).alias("n"))
 
