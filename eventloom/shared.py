@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,18 +23,31 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, what)
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of a job go when it ends."""
     kept = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")  # the shuffle files of this job are of no use after it
+    spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.set(CLEANUP, kept)
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, what)
+    with passing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def is_empty(df: DataFrame) -> bool:
+    """Whether df has no row; leaves no shuffle files."""
+    with passing(df.sparkSession):
+        return df.limit(1).isEmpty()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table or folder that no later plan reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
