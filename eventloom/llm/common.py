@@ -10,9 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.shared import forget, new_path, remove, shared_dir, written
+from eventloom.shared import forget, is_empty, new_path, remove, shared_dir, written
 
-__all__ = ["connected_components", "forget", "new_path", "remove", "shared_dir", "text_slabs", "unit_hash", "without_spaces", "word_count", "written"]
+__all__ = ["connected_components", "forget", "is_empty", "new_path", "remove", "shared_dir", "text_slabs", "unit_hash", "without_spaces", "word_count", "written"]
 
 #: The white space that the contracts name: [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\f\r"
@@ -70,11 +70,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         )
         after = written(small, "edges")
         # stars: no root has a smaller neighbour, and every node has one root
-        last = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).isEmpty()
-        single = after.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).isEmpty()
+        ends = after.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(after.select("v", F.lit(0), F.lit(1)))
+        unlike = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
         forget(now)
         now = after
-        if last and single:
+        if is_empty(unlike):
             break
     else:
         raise RuntimeError(f"components not found in {rounds} rounds")

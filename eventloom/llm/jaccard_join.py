@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import connected_components, forget, text_slabs, written
+from eventloom.llm.common import connected_components, forget, is_empty, text_slabs, written
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 LOWERED = bytes.maketrans(UPPER, LOWER)
@@ -29,6 +29,7 @@ SPARE = 0.25  #: parts beyond those that the bound needs, so that parts with few
 LEAF = 1500  #: documents of a region that one task joins
 PIVOTS = 8
 LEVELS = 6
+APART = 1.5  #: pivots separate a region if their own regions together hold at most this many times its documents
 FAR = 0.6  #: documents farther than this from every pivot make a region of their own
 
 
@@ -262,7 +263,7 @@ def join_leaves(regions: DataFrame, percent: int) -> DataFrame:
 
 
 def split(regions: DataFrame, percent: int, level: int, salts: int = 16) -> DataFrame:
-    """Large regions cut by pivots: region, doc_id, set, ball (linked with its region's pivot), away (distance to it), pivot.
+    """Large regions cut by pivots: parent (the region cut), region, doc_id, set, ball (linked with its region's pivot), away (distance to it), pivot.
 
     A document's core region is its nearest pivot's, or the far region if none is within FAR. It is in another pivot's
     region of lower number too, if it is not farther from that pivot than two radii more than from its own; and far
@@ -291,31 +292,55 @@ def split(regions: DataFrame, percent: int, level: int, salts: int = 16) -> Data
                     if near:
                         union = len(mine) + len(sets[i]) - both[i]
                         ball = bool(100 * both[i] >= percent * union)
-                        out.append({"region": f"{region}/{level}.{i}", "doc_id": doc, "set": own, "ball": ball, "away": float(away[i]), "pivot": p["doc_id"]})
+                        out.append({"parent": region, "region": f"{region}/{level}.{i}", "doc_id": doc, "set": own, "ball": ball, "away": float(away[i]), "pivot": p["doc_id"]})
                 if far:
-                    out.append({"region": f"{region}/{level}.far", "doc_id": doc, "set": own, "ball": False, "away": 0.0, "pivot": None})
+                    out.append({"parent": region, "region": f"{region}/{level}.far", "doc_id": doc, "set": own, "ball": False, "away": 0.0, "pivot": None})
             yield pa.RecordBatch.from_pylist(out, schema=kind)
 
-    kind = pa.schema([("region", pa.string()), ("doc_id", pa.int64()), ("set", pa.binary()), ("ball", pa.bool_()), ("away", pa.float64()), ("pivot", pa.int64())])
-    return met.select("region", "doc_id", "set", "pivots").mapInArrow(route, "region string, doc_id long, set binary, ball boolean, away double, pivot long")
+    kind = pa.schema([("parent", pa.string()), ("region", pa.string()), ("doc_id", pa.int64()), ("set", pa.binary()), ("ball", pa.bool_()), ("away", pa.float64()), ("pivot", pa.int64())])
+    return met.select("region", "doc_id", "set", "pivots").mapInArrow(route, "parent string, region string, doc_id long, set binary, ball boolean, away double, pivot long")
+
+
+def in_blocks(regions: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
+    """Regions that no pivots separate, as regions of at most about ``leaf`` documents: each is dealt into blocks by hash, and
+    any two blocks are a region. Two documents of a region are in one of them at least."""
+    number = F.ceil(F.col("members") * 2 / leaf).cast("int")
+    blocks = sizes.select("region", F.greatest(number, F.lit(1)).alias("blocks"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = regions.join(blocks, "region").select("region", own.alias("own"), other, "blocks", "doc_id", "set").where("own <> other or blocks = 1")
+    return met.select(F.concat_ws("/", "region", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")).alias("region"), "doc_id", "set")
 
 
 def join_regions(regions: DataFrame, percent: int, leaf: int = LEAF) -> list[DataFrame]:
-    """Tables of edges (u, v) of all regions (region string, doc_id, set), by recursion on those larger than ``leaf``."""
+    """Tables of edges (u, v) of all regions (region string, doc_id, set), by recursion on those larger than ``leaf``.
+
+    A document can be in the windows of many pivots. A region whose pivots' regions together hold more than APART times its
+    documents would only grow by the recursion, so it is joined in blocks, and so is what is still large after LEVELS.
+    """
     radius = 1 - percent / 100 + 1e-9
     tables, now = [], regions
     for level in range(LEVELS + 1):
         sizes = now.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
-        large = written(sizes.where(F.col("members") > leaf).select("region"), "jaccard-large")
-        if level == LEVELS or not large.limit(1).count():
+        large = written(sizes.where(F.col("members") > leaf), "jaccard-large")
+        if is_empty(large):
             tables.append(written(join_leaves(now, percent), "jaccard-edges"))
             return tables
-        tables.append(written(join_leaves(now.join(large, "region", "left_anti"), percent), "jaccard-edges"))
-        cut = written(split(now.join(large, "region", "left_semi"), percent, level), "jaccard-split")
-        tables.append(written(cut.where("ball and doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")), "jaccard-edges"))
+        names = large.select("region")
+        tables.append(written(join_leaves(now.join(names, "region", "left_anti"), percent), "jaccard-edges"))
+        wide = now.join(names, "region", "left_semi")
+        if level == LEVELS:
+            tables.append(written(join_leaves(in_blocks(wide, large, leaf), percent), "jaccard-edges"))
+            return tables
+        cut = written(split(wide, percent, level), "jaccard-split")
+        held = cut.groupBy(F.col("parent").alias("region")).agg(F.count(F.lit(1)).alias("rows"))
+        close = written(large.join(held, "region").where(F.col("rows") > APART * F.col("members")).select("region", "members"), "jaccard-close")
+        tables.append(written(join_leaves(in_blocks(wide.join(close.select("region"), "region", "left_semi"), close, leaf), percent), "jaccard-edges"))
+        apart = cut.join(close.select(F.col("region").alias("parent")), "parent", "left_anti")
+        tables.append(written(apart.where("ball and doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")), "jaccard-edges"))
         # of those linked with the pivot, only such stay as can be linked with one that is not
-        outer = cut.where("not ball").groupBy("region").agg(F.min("away").alias("outer"))
-        kept = cut.join(outer, "region").where(F.col("pivot").isNull() | ~F.col("ball") | (F.col("away") + radius >= F.col("outer")))
+        outer = apart.where("not ball").groupBy("region").agg(F.min("away").alias("outer"))
+        kept = apart.join(outer, "region").where(F.col("pivot").isNull() | ~F.col("ball") | (F.col("away") + radius >= F.col("outer")))
         after = written(kept.select("region", "doc_id", "set"), "jaccard-regions")
         forget(cut)
         if level:

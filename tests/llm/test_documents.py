@@ -307,6 +307,41 @@ def test_jaccard_components_equal_brute_force(spark, k, percent, leaf):
     assert len({c for _, c in want.values()}) < len(rows) - 20
 
 
+@pytest.mark.parametrize("leaf", [40, 6])
+@pytest.mark.parametrize("groups", [1, 5])
+def test_jaccard_regions_recurse_or_go_by_blocks(spark, groups, leaf):
+    """One region: of groups far from each other, which pivots separate, and of one group that they don't."""
+    import numpy as np
+
+    r, rows = np.random.default_rng(groups), []
+    for _ in range(groups):
+        base = np.unique(r.integers(0, 1 << 63, 60).astype(np.uint64))
+        for _ in range(60 // groups):
+            own = np.concatenate([r.permutation(base)[int(r.integers(0, 9)) :], r.integers(0, 1 << 63, int(r.integers(0, 4))).astype(np.uint64)])
+            rows.append((len(rows) + 1, np.unique(own)))
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    def joined(pairs):
+        for i in root:
+            root[i] = i
+        for u, v in pairs:
+            x, y = find(u), find(v)
+            root[max(x, y)] = min(x, y)
+        return {i: find(i) for i in root}
+
+    close = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
+    want = joined([(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if close(a, b)])
+    region = spark.createDataFrame([("0", i, bytearray(a.tobytes())) for i, a in rows], "region string, doc_id long, set binary")
+    edges = [(e.u, e.v) for t in jaccard_join.join_regions(region, 90, leaf) for e in t.collect()]
+    assert joined(edges) == want
+    assert groups < len(set(want.values())) < len(rows)
+
+
 def test_jaccard_signatures_meet_for_every_linked_pair():
     """Any two sets at the threshold share a signature, whatever their sizes."""
     import numpy as np
