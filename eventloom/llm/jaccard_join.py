@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import connected_components, forget, is_empty, text_slabs, written
@@ -312,8 +312,56 @@ def in_blocks(regions: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
     return met.select(F.concat_ws("/", "region", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")).alias("region"), "doc_id", "set")
 
 
+def shingles_of(regions: DataFrame) -> DataFrame:
+    """regions (doc_id, set) -> doc_id, n (the set's size), s: a row for each shingle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, own in zip(batch.column(0).to_pylist(), _sets(batch, "set"), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc)), pa.array(np.full(len(own), len(own))), pa.array(own.view(np.int64))], ["doc_id", "n", "s"])
+
+    return regions.select("doc_id", "set").mapInArrow(run, "doc_id long, n long, s long")
+
+
+def rare_regions(regions: DataFrame, percent: int) -> DataFrame:
+    """regions (region, doc_id, set) cut anew by rare shingles: documents that share one of their rarest meet.
+
+    Passages that many documents share can chain unrelated documents into one large region. A document with more shingles
+    that nobody else here holds than the threshold lets two sets differ by has no link and leaves. In an order of all
+    shingles by how many of the others hold them, two linked documents share one of the first n - ceil(t * n) + 1 of each,
+    so no link is lost, and common passages, being last, connect nothing.
+    """
+    held = shingles_of(regions).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id"))
+    lone = written(held.where("c = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone")), "jaccard-lone")
+    size = F.octet_length("set") / 8
+    can = (size - F.coalesce("lone", F.lit(0))) * 100 >= F.lit(percent) * size
+    alive = written(regions.join(lone, "doc_id", "left").where(can).select("doc_id", "set"), "jaccard-alive")
+    each = shingles_of(alive)
+    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    own = Window.partitionBy("doc_id")
+    met = each.join(shared, "s").withColumn("turn", F.row_number().over(own.orderBy("c", "s"))).withColumn("lone", F.col("n") - F.count(F.lit(1)).over(own))
+    first = met.where(F.col("lone") + F.col("turn") <= F.floor(F.col("n") * (100 - percent) / 100) + 1)
+    edges = written(meetings(first.select(F.col("s").alias("sig"), "doc_id")), "jaccard-meetings")
+    groups = connected_components(edges)
+    out = written(alive.join(groups.hint("merge"), F.col("doc_id") == F.col("node")).select(F.col("root").cast("string").alias("region"), "doc_id", "set"), "jaccard-rare")
+    for table in (lone, alive, edges):
+        forget(table)
+    return out
+
+
 def join_regions(regions: DataFrame, percent: int, leaf: int = LEAF) -> list[DataFrame]:
-    """Tables of edges (u, v) of all regions (region string, doc_id, set), by recursion on those larger than ``leaf``.
+    """Tables of edges (u, v) of all regions (region string, doc_id, set). Those larger than ``leaf`` are cut anew by rare
+    shingles, and what is still large by pivots."""
+    sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
+    large = written(sizes.where(F.col("members") > leaf).select("region"), "jaccard-large")
+    if is_empty(large):
+        return [written(join_leaves(regions, percent), "jaccard-edges")]
+    small = written(join_leaves(regions.join(large, "region", "left_anti"), percent), "jaccard-edges")
+    return [small, *join_by_pivots(rare_regions(regions.join(large, "region", "left_semi"), percent), percent, leaf)]
+
+
+def join_by_pivots(regions: DataFrame, percent: int, leaf: int = LEAF) -> list[DataFrame]:
+    """Tables of edges (u, v) of all regions, by recursion on those larger than ``leaf``.
 
     A document can be in the windows of many pivots. A region whose pivots' regions together hold more than APART times its
     documents would only grow by the recursion, so it is joined in blocks, and so is what is still large after LEVELS.

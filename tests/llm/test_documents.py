@@ -307,9 +307,8 @@ def test_jaccard_components_equal_brute_force(spark, k, percent, leaf):
     assert len({c for _, c in want.values()}) < len(rows) - 20
 
 
-@pytest.mark.parametrize("leaf", [40, 6])
-@pytest.mark.parametrize("groups", [1, 5])
-def test_jaccard_regions_recurse_or_go_by_blocks(spark, groups, leaf):
+@pytest.mark.parametrize(("groups", "leaf", "join"), [(1, 40, "join_regions"), (1, 6, "join_by_pivots"), (5, 40, "join_by_pivots"), (5, 6, "join_regions")])
+def test_jaccard_regions_recurse_or_go_by_blocks(spark, groups, leaf, join):
     """One region: of groups far from each other, which pivots separate, and of one group that they don't."""
     import numpy as np
 
@@ -337,7 +336,7 @@ def test_jaccard_regions_recurse_or_go_by_blocks(spark, groups, leaf):
     close = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
     want = joined([(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if close(a, b)])
     region = spark.createDataFrame([("0", i, bytearray(a.tobytes())) for i, a in rows], "region string, doc_id long, set binary")
-    edges = [(e.u, e.v) for t in jaccard_join.join_regions(region, 90, leaf) for e in t.collect()]
+    edges = [(e.u, e.v) for t in getattr(jaccard_join, join)(region, 90, leaf) for e in t.collect()]
     assert joined(edges) == want
     assert groups < len(set(want.values())) < len(rows)
 
