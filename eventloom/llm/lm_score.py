@@ -2,7 +2,8 @@
 
 Every token is predicted from the tokens on both its sides. Tokens are words; the network predicts a word's class - the
 most frequent words are classes of their own, all others share some by hash - and a word's chance within its class comes
-from counts over the corpus. How often each class stands between each two others is counted over all documents; these
+from its own count over the corpus: the counts of all words are a table that grows with the corpus and is joined to the
+documents' words. How often each class stands between each two others is counted over all documents; these
 counts are all that the network's training needs, so it is trained on the whole corpus at a cost that does not depend on
 its size. A document's score is the sum of its tokens' conditional log-probabilities.
 """
@@ -11,27 +12,42 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SPACES, forget, text_slabs, written
+from eventloom.llm.common import SPACES, text_slabs, written
 
 TOP = 48  #: words that are classes of their own
 SHARED = 15  #: classes that all other words share
 EDGE = TOP + SHARED  #: the class before the first and after the last token
 CLASSES = EDGE + 1
-BUCKETS = 1 << 16  #: of counts of the other words
+FREQUENT = 20_000  #: words whose counts go to the tasks with the code; all others' are joined
 SLAB = 4_000_000
 
 
+@dataclass(frozen=True)
+class Shares:
+    """The log of a word's share of its class by the word's number, (n + 1) / total of the class; words not in the corpus
+    have n 0 and, all together, one more in the total."""
+
+    counts: DataFrame  # h, n of all words but the top ones, a table in the shared folder
+    frequent: np.ndarray  # numbers of the most frequent of them, ascending after a -1
+    n: np.ndarray  # their counts
+    totals: np.ndarray  # (SHARED,): sum of n + 1 over a class's words, and 1
+
+    def __getitem__(self, h: int) -> float:
+        row = self.counts.where(F.col("h") == int(h)).select("n").first()
+        return float(np.log((row.n if row else 0) + 1) - np.log(self.totals[h % SHARED]))
+
+
 @dataclass(frozen=True)
 class Model:
     top: dict[bytes, int]  # word -> its class
-    within: np.ndarray  # (BUCKETS,): log of a word's share of its class, by bucket
+    within: Shares  # log of a word's share of its class
     table: np.ndarray  # (CLASSES, CLASSES, CLASSES): log p(class | left, right) at [left, class, right]
 
 
@@ -39,14 +55,19 @@ def lower_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def number(word: bytes) -> int:
+    """A word's number: 60 bits of its MD5, so that even 100 million words hardly ever share one."""
+    return int.from_bytes(md5(word).digest()[:8], "big") >> 4
+
+
 class Lookup(dict):
-    """word -> its code: the class of a frequent word, else CLASSES + its bucket."""
+    """word -> its code: the class of a frequent word, else CLASSES + its number."""
 
     def __init__(self, top: dict[bytes, int]):
         super().__init__(top)
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = code = CLASSES + crc32(word) % BUCKETS
+        self[word] = code = CLASSES + number(word)
         return code
 
 
@@ -123,41 +144,74 @@ def train(counts: np.ndarray, rounds: int = 200, width: int = 16, hidden: int =
 
 
 def fit(docs: DataFrame, rounds: int = 200) -> Model:
-    """Counts over all of docs and the network trained on them. To the driver come TOP words, BUCKETS counts and CLASSES^3
-    cells at most, whatever the input."""
-    words = written(word_counts(docs), "lm-words")
+    """Counts over all of docs and the network trained on them. The counts of all words stay a table in the shared folder; to
+    the driver come TOP + FREQUENT words, SHARED sums and CLASSES^3 cells at most, whatever the input."""
+    h = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 15), 16, 10).cast("long")
+    words = written(word_counts(docs).select("word", h.alias("h"), "n"), "lm-words")
     top = {r.word.encode(): i for i, r in enumerate(words.orderBy(F.desc("n"), "word").limit(TOP).collect())}
     others = words.where(~F.col("word").isin([w.decode() for w in top])) if top else words
-    buckets = others.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words"))
-    n, size = np.zeros(BUCKETS), np.ones(BUCKETS)
-    for r in buckets.collect():
-        n[r.b], size[r.b] = r.n, r.words
-    own = np.arange(BUCKETS) % SHARED
-    by_class = np.bincount(own, n + 1, SHARED)
-    within = np.log((n + 1) / by_class[own]) - np.log(size)
+    totals = np.ones(SHARED)
+    for r in others.groupBy((F.col("h") % SHARED).alias("c")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
+        totals[r.c] += r.n
+    often = sorted((r.h, r.n) for r in others.select("h", "n").orderBy(F.desc("n"), "h").limit(FREQUENT).collect())
+    frequent, n = np.array([(-1, 0), *often], np.int64).T
     counts = np.zeros(CLASSES**3, np.int64)
     for r in contexts(docs, top).collect():
         counts[r.cell] = r.n
-    forget(words)
-    return Model(top, within, train(counts.reshape(CLASSES, CLASSES, CLASSES), rounds))
+    return Model(top, Shares(others.select("h", "n"), frequent, n, totals), train(counts.reshape(CLASSES, CLASSES, CLASSES), rounds))
+
+
+def text_numbers(texts: list[str]) -> np.ndarray:
+    return np.array([number(t.encode("utf-8", "replace")) for t in texts], np.int64)
 
 
 def scores(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, log_prob (sum), mean_log_prob: one row per input row, over whole texts.
 
     Null and empty texts have no tokens, log_prob 0 and mean_log_prob null. Repeated rows score alike. Empty tables give no
-    rows. Other columns are ignored.
+    rows. Other columns are ignored. The table of the model's counts is read when the result is.
     """
     model = model or fit(docs)
+    top, table, frequent, n_frequent, totals = model.top, model.table, model.within.frequent, model.within.n, model.within.totals
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the words that are not top ones: where they stand, their numbers and their place in frequent, 0 if in none."""
+        at = np.flatnonzero(codes >= CLASSES)
+        h = codes[at] - CLASSES
+        k = np.searchsorted(frequent, h, "right") - 1
+        return at, h, np.where(frequent[k] == h, k, 0)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All of a text's log-probability but the logs of the counts that are to be joined, and the number of those."""
         for part, texts in text_slabs(batches, 1, SLAB):
-            codes, sizes = coded(texts, model.top)
+            codes, sizes = coded(texts, top)
             c = class_of(codes)
+            others, h, k = placed(codes)
+            each = np.zeros(len(codes))
+            each[others] = np.log(n_frequent[k] + 1) - np.log(totals[h % SHARED])
+            open_ = np.zeros(len(codes))
+            open_[others] = k == 0
             at = np.flatnonzero(c[1:-1] != EDGE) + 1
-            each = model.table[c[at - 1], c[at], c[at + 1]] + np.where(codes[at] < CLASSES, 0.0, model.within[np.maximum(codes[at] - CLASSES, 0)])
-            total = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes))
-            mean = pa.array(total / np.maximum(sizes, 1), mask=sizes == 0)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(total), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+            each[at] += table[c[at - 1], c[at], c[at + 1]]
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            total, rest = np.bincount(row, each[at], len(sizes)), np.bincount(row, open_[at], len(sizes)).astype(np.int64)
+            key = pa.array(text_numbers(texts))
+            yield pa.RecordBatch.from_arrays([part.column(0), key, pa.array(sizes), pa.array(total), pa.array(rest)], ["doc_id", "key", "n_tokens", "total", "rest"])
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each text's words whose counts are to be joined, and how often it has them."""
+        for _, texts in text_slabs(batches, 0, SLAB):
+            codes, _ = coded(texts, top)
+            at, h, k = placed(codes)
+            words, place = np.unique(h[k == 0], return_inverse=True)
+            row = np.cumsum(codes == EDGE)[at[k == 0]] - 1
+            pairs, n = np.unique(row * max(1, len(words)) + place, return_counts=True)
+            row, place = np.divmod(pairs, max(1, len(words)))
+            yield pa.RecordBatch.from_arrays([pa.array(text_numbers(texts)[row]), pa.array(words[place]), pa.array(n)], ["key", "h", "m"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(known, "doc_id long, key long, n_tokens long, total double, rest long")
+    joined = docs.select("text").mapInArrow(asked, "key long, h long, m long").join(model.within.counts, "h", "left")
+    # a mean, as a repeated text asks once for each copy
+    means = joined.groupBy("key").agg((F.sum(F.col("m") * F.log(F.coalesce("n", F.lit(0)) + 1.0)) / F.sum("m")).alias("mean"))
+    total = F.col("total") + F.coalesce(F.col("rest") * F.col("mean"), F.lit(0.0))
+    return rows.join(means, "key", "left").select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))

@@ -218,6 +218,33 @@ def test_lm_scores(docs, none):
     assert lm_score.scores(none).count() == 0
 
 
+def test_lm_counts_are_each_words_own(spark):
+    """Two words that met in one of 2^16 buckets, one of them frequent, both behind the top words; and unseen words."""
+    import math
+    from zlib import crc32
+
+    first = {}
+    for i in itertools.count():
+        a = first.setdefault(crc32(b"w%d" % i) % (1 << 16), i)
+        if a != i and a > 9:
+            often, rare = f"w{a}", f"w{i}"
+            break
+    top = [f"top{i}" for i in range(lm_score.TOP)]
+    rows = [" ".join([*top * 50, *[often] * 40, rare, often]), " ".join([*top * 50, rare]), rare, often, rare, "unseen"]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for frequent in (lm_score.FREQUENT, 0):  # counts with the code, and all joined
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(lm_score, "FREQUENT", frequent)
+            model = lm_score.fit(table.where("doc_id < 5"), rounds=5)
+        got = {r.doc_id: r.log_prob for r in lm_score.scores(table, model).collect()}
+        code = {w: lm_score.Lookup(model.top)[w.encode()] for w in (often, rare, "unseen")}
+        c = {w: int(lm_score.class_of(code[w])) for w in code}
+        total = {k: 1 + sum(n + 1 for w, n in ((often, 42), (rare, 4)) if c[w] == k) for k in c.values()}
+        own = {w: got[i] - model.table[lm_score.EDGE, c[w], lm_score.EDGE] + math.log(total[c[w]]) for i, w in ((2, rare), (3, often), (4, rare), (5, "unseen"))}
+        assert {w: round(math.exp(x)) for w, x in own.items()} == {often: 43, rare: 5, "unseen": 1}
+        assert len(got) == len(rows) and got[2] == got[4]
+
+
 # personal data -----------------------------------------------------------------------------------------------------------
 
 KINDS = {
