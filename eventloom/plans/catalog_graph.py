@@ -18,6 +18,7 @@ def user_edges(spark, d):
 
 
 def few_edges(spark, d):
+    """The part of the edges that the recursive SQL twins can walk; the queries graph_all_* take all edges."""
     return user_edges(spark, d).where("relation = 'app.signup'")
 
 
@@ -25,8 +26,8 @@ EDGES = f"WITH RECURSIVE {EV}, e AS (SELECT id AS edge, CAST(substr(entity_id, 6
 BFS = "walk(node, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT few.dst, depth + 1 FROM walk JOIN few ON few.src = walk.node WHERE depth < {n})"
 
 
-def shortest(spark, d):
-    return G.shortest_paths(few_edges(spark, d), 7).select("node", F.round("cost", 4).alias("cost"))
+def shortest(spark, d, edges=few_edges):
+    return G.shortest_paths(edges(spark, d), 7).select("node", F.round("cost", 4).alias("cost"))
 
 
 def node_events(spark, d):
@@ -91,7 +92,11 @@ QUERIES = {
         f"{EDGES}, w(node, cost, hops) AS (SELECT 7::BIGINT, 0.0::DOUBLE, 0 UNION ALL SELECT dst, min(cost + weight), hops + 1 FROM w JOIN few ON few.src = w.node WHERE hops < 40 GROUP BY dst, hops) SELECT node, round(min(cost), 4) AS cost FROM w GROUP BY node",
     ),
     "graph_pagerank10": (lambda spark, d: G.pagerank(few_edges(spark, d), 10).select("node", F.round("rank", 8).alias("rank")), rank_sql(10)),
-    "graph_communities": (lambda spark, d: G.communities(few_edges(spark, d)), None),
+    "graph_all_bfs2": (lambda spark, d: G.bfs(user_edges(spark, d), 7, 2), None),
+    "graph_all_subgraph": (lambda spark, d: G.subgraph(user_edges(spark, d), 7, 2).select("edge", "src", "dst"), None),
+    "graph_all_shortest_path": (lambda spark, d: shortest(spark, d, user_edges), None),
+    "graph_all_pagerank10": (lambda spark, d: G.pagerank(user_edges(spark, d), 10).select("node", F.round("rank", 8).alias("rank")), None),
+    "graph_communities": (lambda spark, d: G.communities(user_edges(spark, d)), None),
     "graph_contradictions": (
         lambda spark, d: G.contradictions(user_edges(spark, d), ("app.signup",)).select("src", "first", "other", "edge"),
         f"{EDGES}, f AS (SELECT *, first_value(dst) OVER (PARTITION BY src, relation ORDER BY ts, edge) AS first FROM few) SELECT src, first, dst AS other, edge FROM f WHERE first <> dst",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import ids, schema
 from eventloom.operators import recall as R
 from eventloom.plans.catalog_events import EV
-from eventloom.plans.catalog_graph import EDGES, few_edges
+from eventloom.plans.catalog_graph import EDGES, few_edges, user_edges
 from eventloom.sources import archive, feed
 from eventloom.sources.adapter import events, flat_events
 
@@ -24,9 +24,9 @@ def observed(spark, d):
     return schema.observed(events(spark, d)).select("event_type", "field", "kinds", "seen", F.round("share", 6).alias("share"))
 
 
-def violating(spark, d):
+def violating(spark, d, which="version <= 2"):
     rule = {"type": "object", "required": ["k", "z"], "properties": {"k": {"type": "integer"}, "value": {"type": "string"}}}
-    return events(spark, d).where("version <= 2").select("id", F.array_join(schema.violations(rule), ",").alias("problems"))
+    return events(spark, d).where(which).select("id", F.array_join(schema.violations(rule), ",").alias("problems"))
 
 
 def properties(spark, d):
@@ -34,14 +34,14 @@ def properties(spark, d):
     return events(spark, d).select("id", F.size(schema.property_errors(rules, "payload")).alias("errors"))
 
 
-def expanded(spark, d):
-    e = few_edges(spark, d)
+def expanded(spark, d, edges=few_edges):
+    e = edges(spark, d)
     seeds = spark.createDataFrame([(7, 0.9), (11, 0.5)], "node long, score double")
     return R.expand(seeds, e, 1).select("node", F.round("score", 6).alias("score"))
 
 
-def traced(spark, d):
-    links = flat_events(spark, d).where("event_type = 'app.signup'").select(F.concat_ws(":", F.col("k"), F.to_date("timestamp")).alias("value"), "entity_id")
+def traced(spark, d, which="event_type = 'app.signup'"):
+    links = flat_events(spark, d).where(which).select(F.concat_ws(":", F.col("k"), F.to_date("timestamp")).alias("value"), "entity_id")
     return R.trace(links, "user-7", 2)
 
 
@@ -87,6 +87,9 @@ QUERIES = {
     "stream_range": (ranged, f"WITH {EV} SELECT CAST(id AS VARCHAR) AS id, event_type FROM ev WHERE entity_id = 'user-7' AND epoch_ms(ts) BETWEEN 1704400000000 AND 1705500000000"),
     "stream_length": (lambda spark, d: feed.xlen(flat_events(spark, d), "type:app.click"), f"WITH {EV} SELECT count(*) AS n FROM ev WHERE event_type = 'app.click'"),
     "schema_observed": (observed, f"WITH {EV} SELECT event_type, f AS field, 'number' AS kinds, count(*) AS seen, 1.0::DOUBLE AS share FROM ev CROSS JOIN (VALUES ('k'), ('value')) v(f) GROUP BY ALL"),
+    "schema_all_violations": (lambda spark, d: violating(spark, d, "true"), None),
+    "recall_all_expand": (lambda spark, d: expanded(spark, d, user_edges), None),
+    "id_all_trace": (lambda spark, d: traced(spark, d, "true"), None),
     "schema_violations": (violating, f"WITH {EV} SELECT CAST(id AS VARCHAR) AS id, '$.z: required,$.value: not string' AS problems FROM ev WHERE version <= 2"),
     "property_checks": (properties, f"WITH {EV} SELECT CAST(id AS VARCHAR) AS id, CAST(1 + CASE WHEN k NOT BETWEEN 10 AND 80 THEN 1 ELSE 0 END + CASE WHEN value > 100 THEN 1 ELSE 0 END AS INT) AS errors FROM ev"),
     "recall_expand": (

@@ -135,6 +135,82 @@ def test_graph(spark):
     assert {r.community for r in graph.communities(e).collect()} <= {"A", "B", "C", "D", "E"}
 
 
+def test_whole_graph_equals_brute_force(spark, small):
+    """Queries over all events, against plain Python."""
+    from collections import Counter, defaultdict
+
+    from eventloom.plans import catalog, catalog_graph
+
+    run = lambda name: catalog.queries()[name](spark, small).collect()
+    rows = catalog_graph.user_edges(spark, small).collect()
+    assert len({r.relation for r in rows}) > 1
+    pairs = Counter((r.src, r.dst) for r in rows)
+    nodes = sorted({x for p in pairs for x in p})
+    after, around = defaultdict(set), defaultdict(set)
+    for a, b in pairs:
+        after[a].add(b)
+        around[a].add(b)
+        around[b].add(a)
+
+    depth = {7: 0}
+    for d in (1, 2):
+        for x in [x for x in depth if depth[x] == d - 1]:
+            for y in after[x]:
+                depth.setdefault(y, d)
+    assert {r.node: r.depth for r in run("graph_all_bfs2")} == depth
+    assert sorted(r.edge for r in run("graph_all_subgraph")) == sorted(r.edge for r in rows if r.src in depth and r.dst in depth)
+
+    cost = {7: 0.0}
+    for _ in nodes:
+        for r in rows:
+            if r.src in cost:
+                cost[r.dst] = min(cost.get(r.dst, float("inf")), cost[r.src] + (1.0 if r.weight is None else r.weight))
+    got = {r.node: r.cost for r in run("graph_all_shortest_path")}
+    assert got.keys() == cost.keys() and all(abs(got[x] - cost[x]) < 1e-3 for x in cost)
+
+    outs = Counter()
+    for (a, _), m in pairs.items():
+        outs[a] += m
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(10):
+        loose = sum(rank[x] for x in nodes if not outs[x])
+        new = dict.fromkeys(nodes, (0.15 + 0.85 * loose) / len(nodes))
+        for (a, b), m in pairs.items():
+            new[b] += 0.85 * rank[a] * m / outs[a]
+        rank = new
+    got = {r.node: r.rank for r in run("graph_all_pagerank10")}
+    assert got.keys() == rank.keys() and all(abs(got[x] - rank[x]) < 1e-7 for x in rank)
+
+    turn = {r.node: r.turn for r in spark.createDataFrame([(x,) for x in nodes], "node long").selectExpr("node", "pmod(xxhash64(node), 2) AS turn").collect()}
+    label = {x: x for x in nodes}
+    for i in range(20):
+        votes = {x: Counter(label[y] for y in around[x]) for x in nodes}
+        best = {x: min(v, key=lambda k, v=v: (-v[k], k)) for x, v in votes.items()}
+        done = best == label
+        label = {x: best[x] if turn[x] == i % 2 else label[x] for x in nodes}
+        if done:
+            break
+    assert {r.node: r.community for r in run("graph_communities")} == label
+
+    hops = {7: 0, 11: 0} | {y: 1 for x in (7, 11) for y in around[x] if y not in (7, 11)}
+    near = {x: 0.5 * {7: 0.9, 11: 0.5}.get(x, 0) + 0.3 / (1 + h) for x, h in hops.items()}
+    assert {r.node: r.score for r in run("recall_all_expand")} == pytest.approx(near, abs=1e-5)
+
+    ev = catalog_graph.flat_events(spark, small).selectExpr("id", "entity_id AS e", "k", "to_date(timestamp) AS day").collect()
+    holders = defaultdict(set)
+    for r in ev:
+        holders[":".join(str(x) for x in (r.k, r.day) if x is not None)].add(r.e)
+    seen = {"user-7": 0}
+    for d in (1, 2):
+        for x in [x for x in seen if seen[x] == d - 1]:
+            for h in holders.values():
+                if x in h and 2 <= len(h) <= 20:
+                    for y in h:
+                        seen.setdefault(y, d)
+    assert {r.entity_id: r.hops for r in run("id_all_trace")} == seen
+    assert {r.id: r.problems for r in run("schema_all_violations")} == {str(r.id): "$.z: required,$.value: not string" for r in ev}
+
+
 def test_token_usage_rounds_call_by_call(spark):
     calls = spark.createDataFrame([("wf-1", "m", 1500, 800, 0.0078), ("wf-1", "m", 500, 200, 0.002), ("wf-2", "m", 1000, 500, 0.001)], "entity_id string, model string, input_tokens long, output_tokens long, cost double")
     got = {r.entity_id: r for r in state.token_usage(calls).collect()}
