@@ -24,15 +24,19 @@ CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = ("email", "ip", "card", "phone")
 
-#: Proposals of the added kinds: kind -> pattern.
+#: What stands before a secret: its name and the sign.
+ASSIGNS = r"[A-Za-z0-9_]{3,}+\x20*+[=:]\x20*+"
+#: Issued keys, each beginning with its own alphabet.
+SHAPES = r"AIza[A-Za-z0-9_-]{30,}+|gh[opsur]_[A-Za-z0-9]{30,}+|github_pat_[A-Za-z0-9_]{30,}+|xox[abeoprs]-[A-Za-z0-9-]{10,}+"
+#: Proposals of the added kinds: kind -> pattern. No upper bounds: a match ends where its alphabet does.
 ADDED = {
-    "secret": r"\b[A-Za-z_]{3,20}(?:\x20{0,2})[=:](?:\x20{0,2})\x22?[A-Za-z0-9/+_-]{12,80}+\x22?",
-    "key": r"\b[A-Z]{4}[A-Z0-9]{12,36}\b",
-    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20\p{Lu}\p{Ll}{1,30}(?:\x20\p{Lu}\p{Ll}{1,30})?",
+    "secret": rf"(?<![A-Za-z0-9_])(?=[0-9_]*+[A-Za-z]){ASSIGNS}\x22?[A-Za-z0-9/+_-]{{12,}}+\x22?",
+    "key": rf"\b(?:{SHAPES}|[A-Z]{{4}}[A-Z0-9]{{12,}}+\b)",
+    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)?",
 }
 #: Gazetteer: names that secrets go by, and beginnings of issued keys.
 WORDS = "password|passwd|pwd|secret|token|api_?key|apikey|access_?key|auth|credential"
-ISSUED = "AKIA|ASIA|AIza|ghp_|xoxb"
+ISSUED = "AKIA|ASIA|AIza|gh[opsur]_|github_pat_|xox[abeoprs]-"
 #: Words that tell of personal data nearby.
 AROUND = "login|account|user|contact|signed|dear|credential|key|token|password|secret"
 LABELERS = ("form", "gazetteer", "context")
@@ -92,7 +96,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 def proposals(text: Column) -> Column:
     """The added kinds' proposals with their words before: array<struct<kind, s, e, t, before>>."""
     none = F.expr("cast(array() as array<struct<kind:string,s:int,e:int,t:string,before:string>>)")
-    gates = {"secret": text.rlike(r"[=:]\x20{0,2}\x22?[A-Za-z0-9/+_-]{12}"), "key": text.rlike("[A-Z]{4}[A-Z0-9]{12}"), "name": text.rlike(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20\p{Lu}")}
+    gates = {"secret": text.rlike(r"[=:]\x20*+\x22?[A-Za-z0-9/+_-]{12}"), "key": text.rlike(f"[A-Z]{{4}}[A-Z0-9]{{12}}|{SHAPES}"), "name": text.rlike(r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.?\x20\p{Lu}")}
 
     def of(kind: str) -> Column:
         before = lambda x: F.substring(text, F.greatest(x["s"] - 39, F.lit(1)), F.least(x["s"], F.lit(40)))
@@ -104,7 +108,7 @@ def proposals(text: Column) -> Column:
 
 def value_of(t: Column) -> Column:
     """What a proposal assigns, or all of it."""
-    return F.regexp_replace(t, r"^[A-Za-z_]{3,20}\x20{0,2}[=:]\x20{0,2}", "")
+    return F.regexp_replace(t, f"^{ASSIGNS}", "")
 
 
 def votes(kind: Column, t: Column, before: Column) -> list[Column]:
