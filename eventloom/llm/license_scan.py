@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
-A rule is a regex with a keyword, a label and a priority. A text is searched for a rule's regex only if it holds the
-keyword; a text without any keyword is not searched at all. Detections are intervals of code points; a detection inside
+A rule is a regex with a keyword, a label and a priority. A text is searched for a license's rules only if it holds the
+license's keyword and its name, which all of these rules' regexes need. Detections are intervals of code points; a detection inside
 another one of the same or a higher priority is suppressed. The base labels (phrases of consecutive words) are found apart
 and always stay. All of it is one projection over the scan: no shuffle, and the rules are a constant of fixed size.
 """
@@ -96,36 +96,37 @@ LICENSES = (
     License("proprietary", (), r"all\s+rights\s+reserved", "reserved"),
 )
 
-#: How a name is met, from the strongest: priority, what the lowered text must hold besides the name's keyword, and the
-#: regex around {name}.
+#: How a name is met, from the strongest: priority, what every match of the form holds besides the name, and the regex around
+#: {name}. Before the name stands a space, a sign or nothing, after it a space or nothing.
 FORMS = (
     (90, "under", r"(?:is\s+|are\s+)?(?:licen[cs]ed|released|distributed|published|available|redistributable)\s+under\s+(?:the\s+terms\s+of\s+)?(?:the\s+)?{name}(?:\s+licen[cs]e)?"),
-    (80, "the", r"(?:subject\s+to|governed\s+by|according\s+to|covered\s+by)\s+(?:the\s+terms\s+of\s+)?(?:the\s+)?{name}"),
+    (80, "", r"(?:subject\s+to|governed\s+by|according\s+to|covered\s+by)\s+(?:the\s+terms\s+of\s+)?(?:the\s+)?{name}"),
     (70, "licen", r"licen[cs]e\s*[:=]\s*(?:the\s+)?{name}"),
     (60, "under", r"under\s+(?:the\s+terms\s+of\s+)?(?:the\s+)?{name}"),
     (40, "", r"(?:the\s+)?{name}"),
 )
 #: The bare name says too little here.
 BARE_TOO_SHORT = frozenset({"mit"})
-#: Without one of these in a text no rule can match; every rule's regex needs one.
-GATE = r"(?i)licen[cs]e|licen[cs]ed|spdx|cc0|cc[ -]by|creative\s+commons|rights\s+reserved"
+#: What stands for the name in SPDX tags.
+TAG = "spdx-license-identifier"
 
 
 def edge(regex: str) -> str:
     return rf"(?<![a-z0-9])(?:{regex})(?![a-z0-9])"
 
 
-def rules() -> list[tuple[str, str, str, str, int]]:
-    """(keyword, second keyword, regex over texts lowered in A-Z, label, priority), the strongest first: forms by license
-    and SPDX tags. A form without a word of its own has the name's keyword twice."""
+def rules() -> list[tuple[str, str, str, str, int, str]]:
+    """(keyword, second keyword, regex over texts lowered in A-Z, label, priority, name), the strongest first: forms by license
+    and SPDX tags. A form without a word of its own has the name's keyword twice. No regex matches a text without both
+    keywords and a match of name."""
     out = []
     for x in LICENSES:
         for priority, word, form in FORMS:
             if x.label == "proprietary" and priority != 40 or x.label in BARE_TOO_SHORT and priority == 40:
                 continue
-            out.append((x.keyword, word or x.keyword, edge(form.format(name=f"(?:{x.name})")), x.label, priority))
+            out.append((x.keyword, word or x.keyword, edge(form.format(name=f"(?:{x.name})")), x.label, priority, edge(x.name)))
         for spdx in x.spdx:
-            out.append(("spdx-license-identifier", spdx, edge(r"spdx-license-identifier\s*:\s*" + spdx.replace(".", r"\.")), x.label, 100))
+            out.append((TAG, spdx, edge(TAG + r"\s*:\s*" + spdx.replace(".", r"\.")), x.label, 100, TAG))
     return sorted(out, key=lambda r: -r[4])
 
 
@@ -153,9 +154,13 @@ def lowered(text: Column) -> Column:
 
 def detections(text: Column) -> Column:
     """All rules' matches in text: array<struct<s, e, label, priority>>; text is lowered in A-Z."""
-    listed = json.dumps([dict(zip("kfrlp", rule, strict=True)) for rule in rules()])
-    constant = F.from_json(F.lit(listed), "array<struct<k:string,f:string,r:string,l:string,p:int>>")  # folded when planned
-    held = F.filter(constant, lambda x: F.contains(text, x["k"]) & F.contains(text, x["f"]))
+    by_key: dict[str, dict[str, list[dict]]] = {}
+    for k, f, r, label, priority, name in rules():
+        by_key.setdefault(k, {}).setdefault(name, []).append({"f": f, "r": r, "l": label, "p": priority})
+    listed = json.dumps([{"k": k, "n": [{"n": n, "r": r} for n, r in names.items()]} for k, names in by_key.items()])
+    constant = F.from_json(F.lit(listed), "array<struct<k:string,n:array<struct<n:string,r:array<struct<f:string,r:string,l:string,p:int>>>>>>")  # folded when planned
+    names = F.flatten(F.transform(F.filter(constant, lambda x: F.contains(text, x["k"])), lambda x: F.filter(x["n"], lambda n: F.rlike(text, n["n"]))))
+    held = F.filter(F.flatten(F.transform(names, lambda n: n["r"])), lambda x: F.contains(text, x["f"]))
 
     def of(rule: Column) -> Column:
         gaps, hits = F.split(text, rule["r"], -1), F.regexp_extract_all(text, rule["r"], F.lit(0))
@@ -192,9 +197,8 @@ def scan(docs: DataFrame) -> DataFrame:
     of their own; empty tables give no rows.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.expr("cast(array() as array<struct<s:int,e:int,label:string,priority:int>>)")
     # as an element of an array, so that the text is lowered once and not once for every rule
-    raw = F.when(text.rlike(GATE), F.element_at(F.transform(F.array(lowered(text)), detections), 1)).otherwise(none)
+    raw = F.element_at(F.transform(F.array(lowered(text)), detections), 1)
     got = docs.select("doc_id", words_in(text).cast("long").alias("n_words"), F.array(*[phrase_starts(text, p) for p, _ in PHRASES]).alias("base"), raw.alias("raw"))
     starts = F.flatten("base")
     labels = F.filter(F.transform("base", lambda x, i: F.when(F.size(x) > 0, F.element_at(F.array(*[F.lit(v) for _, v in PHRASES]), i + 1))), lambda v: v.isNotNull())

@@ -194,6 +194,26 @@ def test_license_rules(spark):
     assert len(license_scan.rules()) >= 200
 
 
+def test_license_rules_are_not_kept_from_texts(spark):
+    """Texts without 'licen' or 'the' that rules match; and every rule's match holds what the rule is gated by."""
+    cases = {
+        "Released under BSD-3-Clause.": "bsd-3", "distributed under the MIT.": "mit", "Covered under 2-clause BSD": "bsd-2", "MIT No Attribution": "mit-0", "cc\nby\nsa": "cc-by-sa", "governed by MIT License": "mit",
+        "Subject to Mozilla Public License 2.0": "mpl-2",
+    }
+    rules = license_scan.rules()
+    texts = [*cases, "governed by isc license", "use is covered by the zlib license!"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.license_labels(df).collect()}
+    assert [got[i].labels for i in range(len(texts))] == [*cases.values(), "isc", "zlib"]
+    assert [got[i].score for i in (5, 6, 7, 8)] == [0.8] * 4
+    lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t)
+    # all rules by hand, without any gate
+    for i, t in enumerate(texts):
+        matched = [r for r in rules if re.search(r[2], lower(t))]
+        assert {r[3] for r in matched} >= set(got[i].labels.split(","))
+        assert all(r[0] in lower(t) and r[1] in lower(t) and re.search(r[5], lower(t)) for r in matched), t
+
+
 # language model ----------------------------------------------------------------------------------------------------------
 
 
