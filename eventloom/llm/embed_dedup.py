@@ -152,20 +152,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
     """vectors (vec_id, embedding) -> vec_id, n_links, component_id, kept: one row per input row.
 
     Rows link when the cosine of their vectors, in double precision, is at least ``threshold``. Vectors that are null, empty
-    or zero or hold null or non-finite components link with nothing, and so do vectors whose length differs from that of
-    most. A row's component is the smallest vec_id reachable from it; rows repeated with one vec_id are rows of their own
+    or zero or hold null or non-finite components link with nothing; others link with vectors of their own length, each length
+    by a run of its own. A row's component is the smallest vec_id reachable from it; rows repeated with one vec_id are rows of their own
     and link like others. Null ids count as largest and are returned as null. Empty tables give no rows.
     """
     marked = usable(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"))
-    sizes = marked.where("fit_").groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dims = sizes[0].d if sizes else 0
-    marked = marked.withColumn("fit_", F.col("fit_") & (F.size("embedding") == dims))
-    alone = marked.where("not fit_").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    if not dims:
-        return alone.withColumn("kept", F.lit(True))
-    good = marked.where("fit_")
-    axes = rotation(good, dims)
+    sizes = marked.where("fit_").groupBy(F.size("embedding").alias("d")).count().where("count > 1").orderBy(F.desc("count"), "d").collect()
+    lengths = [r.d for r in sizes]  # one vector of its length has none to link with
+    marked = marked.withColumn("fit_", F.col("fit_") & F.size("embedding").isin(lengths))
+    out = marked.where("not fit_").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     held = np.float32 if dict(vectors.dtypes)["embedding"] == "array<float>" else np.float64
+    for dims in lengths:
+        out = of_length(marked.where(F.col("fit_") & (F.size("embedding") == dims)), dims, held, threshold, tile).unionByName(out)
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def of_length(good: DataFrame, dims: int, held: type, threshold: float, tile: int) -> DataFrame:
+    """good (vec_id, embedding), usable vectors of dims components -> vec_id, n_links, component_id."""
+    axes = rotation(good, dims)
     tiles = tiles_of(good, axes, tile, held)
 
     # tiles meet where their ranges, each widened by the farthest that linked unit vectors can be apart, share a cell
@@ -203,5 +207,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, tile: int = TIL
     nodes = tiles.select("tile", F.posexplode("ids").alias("k", "vec_id")).select(F.expr("shiftleft(tile, 20) + k").alias("node"), "vec_id")
     linked = nodes.join(counts, "node", "left").join(trees, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = linked.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    rest = linked.join(least, "root").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id")
-    return rest.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return linked.join(least, "root").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id")

@@ -153,3 +153,11 @@ def test_pipeline_stages(spark, small):
     assert f5(spark, four, small).count() == four.count()
     assert corpus_pipeline.run(spark, small).count() == four.count()
     assert exact_dedup.exact_dedup(three).where("not kept").count() == 0
+
+
+def test_vectors_of_every_length_link(spark):
+    rows = [(1, [1.0, 2.0, 3.0]), (2, [2.0, 4.0, 6.0]), (3, [3.0, -1.0, 0.0]), (4, [1.0, 2.0]), (5, [1.0, 2.0]), (6, [5.0]), (7, [-2.0, 1.0]), (8, None), (9, [1.0, 2.0, 3.0, 4.0])]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
+        (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True), (9, 0, 9, True),
+    ]
