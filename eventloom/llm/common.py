@@ -53,29 +53,30 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: edges (u, v) of longs -> (node, root), root the smallest node reachable.
 
     Large-star and small-star rounds: every round hangs a node's larger neighbours under its smallest one, until all
-    trees are stars. Each round is a table in the shared folder. Nodes without an edge to another node are absent.
+    trees are stars. What a join reads is a table in the shared folder, so that adaptive execution can split a node with
+    many neighbours; minima are taken within each task first. Nodes without an edge to another node are absent.
     """
-    spark = edges.sparkSession
-    now = written(
-        edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
-    )
+    now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+
+    def hung(ends: DataFrame, least: DataFrame) -> DataFrame:
+        """Each v of ends (u, v) under the smallest neighbour m of u."""
+        return ends.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
     for _ in range(rounds):
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lower = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(lower, "u")
-        small = (
-            joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v"))).distinct()
-        )
-        after = written(small, "edges")
         # stars: no root has a smaller neighbour, and every node has one root
-        ends = after.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(after.select("v", F.lit(0), F.lit(1)))
-        unlike = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")
-        forget(now)
-        now = after
-        if is_empty(unlike):
+        ends = now.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))
+        if is_empty(ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)")):
             break
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(hung(both.where("v > u"), least).distinct(), "edges")
+        forget(least)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        own = least.select("u", F.col("m").alias("v"))
+        after = written(hung(large, least).where("u <> v").union(own).distinct(), "edges")
+        for table in (now, large, least):
+            forget(table)
+        now = after
     else:
         raise RuntimeError(f"components not found in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())

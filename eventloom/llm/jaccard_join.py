@@ -1,12 +1,15 @@
 """N-gram Jaccard join: an exact metric-space join over sets of word shingles.
 
-Distance is 1 - Jaccard similarity, a metric. Unrelated documents share no shingle and are all at distance 1 from any pivot
-document, where no window separates them; so the first regions are made in projected spaces. The universe of shingles is
-cut into m parts by hash. Two linked documents differ in at most D shingles, so at least m - D parts hold the same
-shingles of both: the documents coincide, in those parts' spaces, on one point, and points are the pivots there. Regions
-that share a document join into one. Inside, documents are pivots: those within the radius of a pivot are linked with it
-and need no comparison with each other; a region that is too large for a task is cut into the pivots' Voronoi regions,
-documents near a boundary are replicated by windows that the triangle inequality gives, and regions join recursively.
+Distance is 1 - Jaccard similarity, a metric; the radius r is the distance at which documents still link. Pivots are documents.
+Every document goes to its nearest pivot within r, its Voronoi region, and is replicated to the regions of all other pivots
+within 2r: if x and y link and p is y's pivot, d(x, p) <= d(x, y) + d(y, p) <= 2r by the triangle inequality, so x and y meet
+in p's region. There x is compared only with y of d(y, p) >= d(x, p) - r. Documents farther than r from all pivots make the
+far region, which joins recursively with pivots of its own.
+
+Unrelated documents share no shingle and are at distance 1, so pivots are found by an inverted index: shingles are ordered by
+the number of sets that hold them, rare ones first, and two sets within 2r share one of the first n - ceil((1 - 2r) n) + 1 of
+each. A set with more shingles that no other one holds than r allows is farther than r from all others: a region of its own,
+which leaves before any pivot is chosen.
 """
 
 from __future__ import annotations
@@ -24,13 +27,10 @@ from eventloom.llm.common import connected_components, forget, is_empty, text_sl
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 LOWERED = bytes.maketrans(UPPER, LOWER)
 SLAB = 4_000_000  #: bytes of text hashed at once
-GROW = 1.5  #: a size class reaches from one size to this many times it
-SPARE = 0.25  #: parts beyond those that the bound needs, so that parts with few shingles can be left out
-LEAF = 1500  #: documents of a region that one task joins
-PIVOTS = 8
-LEVELS = 6
-APART = 1.5  #: pivots separate a region if their own regions together hold at most this many times its documents
-FAR = 0.6  #: documents farther than this from every pivot make a region of their own
+LEAF = 1500  #: documents of a region that meet in one task
+SHINGLES = 2_000_000  #: shingles of those documents
+LEVELS = 6  #: levels of pivots after which what is far is joined in blocks, as soon as a level leaves more than half
+SEEN = 2.5  #: of all shingles, this many radii are counted to find the sets that are far from all others
 
 
 class _Hashes(dict):
@@ -73,113 +73,167 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     return out
 
 
-class Classes:
-    """Size classes for a threshold in percent: which parts a document of some size is cut into."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.low = [1]
-        while self.low[-1] < 1 << 31:
-            self.low.append(max(self.low[-1] + 1, int(self.low[-1] * GROW)))
-        self.parts, self.least, self.spare, self.reach = [], [], [], []
-        for a, b in zip(self.low, self.low[1:], strict=False):
-            most = (b - 1) * 100 // percent  # the largest partner of a document of this class
-            d = (100 - percent) * (b - 1 + most) // (100 + percent)
-            spare = int(np.ceil(SPARE * (d + 1)))
-            m = d + 1 + spare
-            # a part counts as full from as many shingles as most parts of the class's smallest documents hold
-            least, term, below = 1, np.exp(-a / m), np.exp(-a / m)
-            while below + term * (a / m) / least <= 0.6 * spare / m and least < 4:
-                term *= a / m / least
-                below += term
-                least += 1
-            self.parts.append(m if d else 0)
-            self.least.append(least)
-            self.spare.append(spare)
-            self.reach.append(most)
-
-    def of(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.low, sizes, "right") - 1
-
-
-def signatures(sets: list[np.ndarray], classes: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, signature) of all sets: one for each part of a class, of the part's shingles. A set has the parts of its own
-    class and of the class below if a document there can be its partner. Parts with few shingles are left out unless the
-    set has more of them than are spare; two sets that both have more keep theirs."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    out_owner, out_sig = [], []
-    parts, least, spare, reach = (np.array(x) for x in (classes.parts, classes.least, classes.spare, classes.reach))
-    own = classes.of(np.maximum(sizes, 1))
-    for down in (0, 1):
-        c = np.maximum(own - down, 0)
-        on = (sizes > 0) & (parts[c] > 0) & ((sizes <= reach[c]) & (own > 0) if down else True)
-        m = np.where(on, parts[c], 0)
-        base = np.concatenate([[0], np.cumsum(m)])
-        who = np.repeat(np.arange(len(sets)), sizes)
-        keep = on[who]
-        h, w = flat[keep], who[keep]
-        if not len(h):
-            continue
-        part = (mix(h ^ np.uint64(0xA5A5A5A5)) >> np.uint64(8)).astype(np.int64) % m[w]
-        cell = base[:-1][w] + part
-        total = np.zeros(base[-1], np.uint64)
-        np.add.at(total, cell, mix(h))
-        count = np.bincount(cell, minlength=base[-1])
-        owner = np.repeat(np.arange(len(sets)), m)
-        number = np.arange(base[-1]) - base[:-1][owner]
-        few = count < least[c][owner]
-        weak = np.bincount(owner, few, len(sets)) > spare[c]
-        emit = ~few | weak[owner]
-        tag = mix((c[owner].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64) + np.uint64(1))
-        out_owner.append(owner[emit])
-        out_sig.append(mix(total + tag)[emit])
-    if not out_owner:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_owner), np.concatenate(out_sig)
-
-
-def prints(docs: DataFrame, words: int, classes: Classes) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n, key (of the whole set; null if empty), sigs."""
+def prints(docs: DataFrame, words: int) -> DataFrame:
+    """docs (doc_id, text) -> rid (the row's number), doc_id, n, key (of the whole set; null if empty), own (its first half), set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slabs(batches, 1, SLAB):
+        for part, texts in text_slabs(batches, 2, SLAB):
             sets = shingle_sets([t.encode("utf-8", "replace") for t in texts], words)
-            owner, sig = signatures(sets, classes)
-            order = np.argsort(owner, kind="stable")
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sets)))])
             keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            sigs = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sig[order].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), sigs], ["doc_id", "n", "key", "sigs"])
+            own = [int.from_bytes(k[:8], "big", signed=True) if k else None for k in keys]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(own, pa.int64()), lists], ["rid", "doc_id", "n", "key", "own", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, sigs array<long>")
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return numbered.mapInArrow(run, "rid long, doc_id long, n long, key binary, own long, set array<long>")
 
 
-def meetings(sigs: DataFrame) -> DataFrame:
-    """sigs (sig, doc_id) -> edges (u, v) from every document of a region to the region's smallest, read as a sorted stream."""
+def company(table: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+    """rid, n, set of one row of each set that can be within the radius of another.
+
+    Shingles in a fixed share of their hashes' space are counted; a set with more of them to itself than the radius lets two
+    linked sets differ by is far from all others. ``own`` stands for the set, so copies of it count as one.
+    """
+    share = min(1.0, SEEN * (100 - percent) / 100)
+    counted = F.filter("set", lambda s: F.pmod(F.shiftrightunsigned(s, 17), F.lit(1 << 20)) < int(share * (1 << 20)))
+    held = table.where("n > 0").select("own", F.explode(counted).alias("s")).groupBy("s").agg(F.min("own").alias("lo"), F.max("own").alias("hi"))
+    alone = held.where("lo = hi").groupBy(F.col("lo").alias("own")).agg(F.count(F.lit(1)).alias("alone"))
+    near = firsts.join(alone, "own", "left").where(F.coalesce("alone", F.lit(0)) * 100 <= F.lit(100 - percent) * F.col("n"))
+    chosen = written(near.select(F.col("first").alias("rid")), "jaccard-chosen")
+    out = written(table.select("rid", "n", "set").join(chosen, "rid", "left_semi"), "jaccard-members")
+    forget(chosen)
+    return out
+
+
+def inverted(members: DataFrame, percent: int) -> DataFrame:
+    """members (rid, n, set) -> the inverted index: rid, n, s, c (sets here that hold s), turn (its place in the order of rare
+    shingles first) of the shingles that the bound for 2r needs; near tells those that the bound for r needs. Sets with more
+    shingles of their own than r allows are left out, as they have no link here."""
+    each = members.select("rid", "n", F.explode("set").alias("s"))
+    shared = written(each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "jaccard-shared")
+    own = Window.partitionBy("rid")
+    placed = each.join(shared, "s").select("rid", "n", "s", "c", F.row_number().over(own.orderBy("c", "s")).alias("i"), (F.col("n") - F.count(F.lit(1)).over(own)).alias("alone"))
+    placed = placed.withColumn("turn", F.col("i") + F.col("alone")).where(F.col("alone") * 100 <= F.lit(100 - percent) * F.col("n"))
+    bound = lambda radii: F.floor(F.col("n") * radii * (100 - percent) / 100) + 1
+    index = written(placed.where(F.col("turn") <= bound(2)).select("rid", "n", "s", "c", "turn", (F.col("turn") <= bound(1)).alias("near")), "jaccard-index")
+    forget(shared)
+    return index
+
+
+def leaders(index: DataFrame) -> DataFrame:
+    """s, leader of every list of the index with two documents or more: the one with the smallest hash."""
+    first = F.min(F.struct(F.xxhash64("rid").alias("h"), "rid"))["rid"]
+    return written(index.groupBy("s").agg(first.alias("leader"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s", "leader"), "jaccard-leaders")
+
+
+def nominees(index: DataFrame, led: DataFrame) -> DataFrame:
+    """rid, pivot: every document that can have a link names the leader of the longest of its lists. Those that name
+    themselves are the pivots: hashes fall along the names, so every group has one, and dense groups have few."""
+    return written(index.where("near").join(led, "s").groupBy("rid").agg(F.max_by("leader", F.struct("c", "s")).alias("pivot")), "jaccard-named")
+
+
+def distances(members: DataFrame, index: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """rid, n, pivot, away, linked of every document of the index and every pivot within 2r of it, itself included."""
+    least = 2 * percent - 100  # the similarity at 2r, in percent
+    entries = written(index.join(pivots, F.col("rid") == F.col("pivot")).select("s", "pivot", F.col("n").alias("m"), F.col("turn").alias("at")), "jaccard-entries")
+    most = 1 + F.least(F.col("n") - F.col("turn"), F.col("m") - F.col("at"))  # that they can share if s is the first they do
+    pairs = index.join(entries, "s").where(most * (100 + least) >= F.lit(least) * (F.col("n") + F.col("m"))).select("rid", "pivot").distinct()
+    own = members.select("rid", "n", "set")
+    theirs = members.select(F.col("rid").alias("pivot"), F.col("n").alias("m"), F.col("set").alias("pivot_set"))
+    both = pairs.join(own, "rid").join(theirs, "pivot").select("rid", "n", "pivot", (F.col("n") + F.col("m")).alias("sum"), F.size(F.array_intersect("set", "pivot_set")).cast("long").alias("both"))
+    union = F.col("sum") - F.col("both")
+    near = both.where(F.col("both") * 100 >= F.lit(least) * union)
+    out = written(near.select("rid", "n", "pivot", (1 - F.col("both") / union).alias("away"), (F.col("both") * 100 >= F.lit(percent) * union).alias("linked")), "jaccard-near")
+    forget(entries)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, lead = None, None  # the region that the last batch ended in, and its first document
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            first = np.concatenate([[last is None or sig[0] != last], sig[1:] != sig[:-1]])
-            leads = np.where(first, doc, 0)
-            at = np.maximum.accumulate(np.where(first, np.arange(len(sig)), -1))
-            leads = np.where(at >= 0, doc[np.maximum(at, 0)], lead if lead is not None else 0)
-            apart = (leads != doc) & ~first
-            pairs = np.unique(np.stack([doc[apart], leads[apart]], 1), axis=0) if apart.any() else np.zeros((0, 2), np.int64)
-            last, lead = sig[-1], leads[-1]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    return sigs.repartition(F.col("sig")).sortWithinPartitions("sig", "doc_id").mapInArrow(run, "u long, v long").distinct()
+def compare(percent: int):
+    """Of a block of a region, the documents of other regions (outer) against those of its own: an edge for each outer one that
+    links with one of them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        outer = np.array(table.column("outer").to_pylist(), bool)
+        away = table.column("away").to_numpy()
+        sets = [np.asarray(x.values if x.values is not None else [], np.int64) for x in table.column("set")]
+        u, v = [], []
+        inner = np.flatnonzero(~outer)
+        if len(inner) and outer.any():
+            inner = inner[np.argsort(-away[inner], kind="stable")]  # farthest first, so that the window is a prefix
+            sizes = np.array([len(sets[i]) for i in inner], np.int64)
+            starts = np.concatenate([[0], np.cumsum(sizes)])
+            values, flat = np.unique(np.concatenate([sets[i] for i in inner]), return_inverse=True)
+            mark = np.zeros(len(values) + 1, np.int32)
+            owner, pivot = table.column("owner").to_pylist(), table.column("pivot")[0].as_py()
+            radius = 1 - percent / 100 + 1e-9
+            for x in np.flatnonzero(outer):
+                until = int(np.searchsorted(-away[inner], -(away[x] - radius), "right"))
+                if not until:
+                    continue
+                at = np.searchsorted(values, sets[x])
+                at = at[(at < len(values)) & (values[np.minimum(at, len(values) - 1)] == sets[x])]
+                mark[at] = 1
+                both = np.add.reduceat(mark[flat[: starts[until]]], starts[:until])
+                mark[at] = 0
+                if np.any(100 * both >= percent * (len(sets[x]) + sizes[:until] - both)):
+                    u.append(owner[x])
+                    v.append(pivot)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
 
 
-def overlaps(flat: np.ndarray, starts: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sorted set ``one`` with all sets, which lie in flat from starts on; none is empty."""
-    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
-    return np.add.reduceat((one[at] == flat).astype(np.int64), starts)
+def across(members: DataFrame, near: DataFrame, cores: DataFrame, direct: DataFrame, percent: int, leaf: int) -> DataFrame | None:
+    """Edges (u, v) between regions: documents within 2r of a pivot and not of its region against those that are. Of two
+    regions the one with the larger pivot does it; regions already linked by a document within r of both pivots need not.
+
+    Both sides are dealt into blocks of at most about ``leaf`` documents, so that no region meets in one task."""
+    radius = 1 - percent / 100 + 1e-9
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / leaf), F.ceil(F.sum("n") / SHINGLES)).cast("int")
+    reach = written(cores.groupBy("core").agg(F.max("away").alias("reach"), blocks.alias("columns")).where("reach > 0"), "jaccard-reach")
+    outer = near.where("not linked").join(reach, F.col("pivot") == F.col("core")).where(F.col("away") - radius <= F.col("reach")).select("rid", "n", "pivot", "away")
+    held = cores.select("rid", F.col("core").alias("own"))
+    outer = outer.join(held, "rid", "left").where("own is null or own < pivot")
+    outer = outer.join(direct.select(F.col("u").alias("pivot"), F.col("v").alias("own")), ["pivot", "own"], "left_anti")
+    outer = written(outer.select("pivot", "rid", "n", "away", F.coalesce("own", "rid").alias("owner")), "jaccard-outer")
+    if is_empty(outer):
+        found = None
+    else:
+        rows = outer.groupBy("pivot").agg(blocks.alias("rows"), F.min("away").alias("least"))
+        shape = written(rows.join(reach, F.col("pivot") == F.col("core")).select("pivot", "rows", "columns", "least"), "jaccard-shape")
+
+        def dealt(side: DataFrame, own: str, other: str, is_outer: bool) -> DataFrame:
+            number = F.pmod(F.xxhash64("rid"), F.col(own)).cast("int").alias(own[:3])
+            held = side.join(shape, "pivot").where(F.lit(is_outer) | (F.col("away") >= F.col("least") - radius))
+            return held.select("pivot", number, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other[:3]), "rid", "away", "owner", F.lit(is_outer).alias("outer"))
+
+        inner = cores.select(F.col("core").alias("pivot"), "rid", "away", F.col("core").alias("owner"))
+        met = dealt(outer, "rows", "columns", True).unionByName(dealt(inner, "columns", "rows", False)).join(members.select("rid", "set"), "rid")
+        found = written(met.groupBy("pivot", "row", "col").applyInArrow(compare(percent), "u long, v long"), "jaccard-across")
+        forget(shape)
+    forget(outer)
+    forget(reach)
+    return found
+
+
+def join_level(members: DataFrame, index: DataFrame, led: DataFrame, percent: int, leaf: int) -> tuple[list[DataFrame], DataFrame, bool]:
+    """One level: tables of cores (rid, n, core, away) of the documents that have a pivot within the radius and of edges (u, v)
+    between pivots or documents of the far region, the far region's members, and whether they are more than half of all."""
+    named = nominees(index, led)
+    near = distances(members, index, named.where("rid = pivot").select("pivot"), percent)
+    nearest = F.min(F.struct("away", "pivot", "n"))
+    cores = near.where("linked").groupBy("rid").agg(nearest.alias("c")).select("rid", "c.n", F.col("c.pivot").alias("core"), "c.away")
+    cores = written(cores, "jaccard-cores")
+    ends = near.where("linked").join(cores.select("rid", "core"), "rid").where("core <> pivot")
+    direct = written(ends.select(F.greatest("core", "pivot").alias("u"), F.least("core", "pivot").alias("v")).distinct(), "jaccard-direct")
+    more = across(members, near, cores, direct, percent, leaf)
+    far = written(members.join(named.select("rid"), "rid", "left_semi").join(cores.select("rid"), "rid", "left_anti"), "jaccard-far")
+    slow = 2 * far.count() > named.count()
+    forget(named)
+    forget(near)
+    return [cores, direct] if more is None else [cores, direct, more], far, slow
 
 
 def join_region(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -246,155 +300,64 @@ def join_region(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[t
     return edges
 
 
-def _sets(batch, column: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in batch.column(column).to_pylist()]
+def regions_of(index: DataFrame, led: DataFrame) -> DataFrame:
+    """rid, region: a document is in the region of every leader of the lists that the bound for r needs, so any two that link
+    have one in common."""
+    return written(index.where("near").join(led, "s").select("rid", F.col("leader").alias("region")).distinct(), "jaccard-regions")
 
 
-def join_leaves(regions: DataFrame, percent: int) -> DataFrame:
-    """regions (region, doc_id, set) -> edges (u, v); a region in one task."""
+def join_leaves(members: DataFrame, regions: DataFrame, percent: int, leaf: int) -> DataFrame:
+    """Edges (u, v) of all regions (rid, region), each joined by pivots within a task. A region over ``leaf`` documents is dealt
+    into blocks by hash, and any two of its blocks meet, so two of its documents meet in one task at least."""
 
-    def leaf(table: pa.Table) -> pa.Table:
-        seen = dict(zip(table.column("doc_id").to_pylist(), _sets(table, "set"), strict=True))
-        ids = np.array(sorted(seen), np.int64)
-        edges = join_region(ids, [seen[i] for i in ids.tolist()], percent) if len(ids) > 1 else []
+    def joined(table: pa.Table) -> pa.Table:
+        ids, sets = table.column("rid").to_numpy(), [np.asarray(x.values, np.int64) for x in table.column("set")]
+        edges = join_region(ids, sets, percent) if len(ids) > 1 else []
         return pa.table({"u": pa.array([u for u, _ in edges], pa.int64()), "v": pa.array([v for _, v in edges], pa.int64())})
 
-    return regions.groupBy("region").applyInArrow(leaf, "u long, v long")
-
-
-def split(regions: DataFrame, percent: int, level: int, salts: int = 16) -> DataFrame:
-    """Large regions cut by pivots: parent (the region cut), region, doc_id, set, ball (linked with its region's pivot), away (distance to it), pivot.
-
-    A document's core region is its nearest pivot's, or the far region if none is within FAR. It is in another pivot's
-    region of lower number too, if it is not farther from that pivot than two radii more than from its own; and far
-    documents, if within FAR and a radius. So any two linked documents have a common region.
-    """
-    radius = 1 - percent / 100 + 1e-9
-    least = [F.min(F.struct(F.xxhash64("doc_id", F.lit(level * PIVOTS + i)), "doc_id"))["doc_id"].alias(f"p{i}") for i in range(PIVOTS)]
-    chosen = regions.groupBy("region").agg(*least).select("region", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("doc_id"))
-    pivots = regions.join(chosen, ["region", "doc_id"]).groupBy("region").agg(F.sort_array(F.collect_set(F.struct("doc_id", "set"))).alias("pivots"))
-    dealt = regions.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    met = dealt.join(pivots.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), ["region", "salt"])
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for region, doc, own, pivots_ in zip(*(batch.column(c).to_pylist() for c in ("region", "doc_id", "set", "pivots")), strict=True):
-                mine = np.frombuffer(own, np.uint64)
-                sets = [np.frombuffer(p["set"], np.uint64) for p in pivots_]
-                starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])[:-1]
-                both = overlaps(np.concatenate(sets), starts, mine)
-                away = 1 - both / (len(mine) + np.array([len(s) for s in sets]) - both)
-                core = int(np.argmin(away))
-                far = away[core] > FAR
-                for i, p in enumerate(pivots_):
-                    near = away[i] <= FAR + radius if far else i == core or (i < core and away[i] <= min(away[core] + 2 * radius, FAR + radius))
-                    if near:
-                        union = len(mine) + len(sets[i]) - both[i]
-                        ball = bool(100 * both[i] >= percent * union)
-                        out.append({"parent": region, "region": f"{region}/{level}.{i}", "doc_id": doc, "set": own, "ball": ball, "away": float(away[i]), "pivot": p["doc_id"]})
-                if far:
-                    out.append({"parent": region, "region": f"{region}/{level}.far", "doc_id": doc, "set": own, "ball": False, "away": 0.0, "pivot": None})
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
-
-    kind = pa.schema([("parent", pa.string()), ("region", pa.string()), ("doc_id", pa.int64()), ("set", pa.binary()), ("ball", pa.bool_()), ("away", pa.float64()), ("pivot", pa.int64())])
-    return met.select("region", "doc_id", "set", "pivots").mapInArrow(route, "parent string, region string, doc_id long, set binary, ball boolean, away double, pivot long")
-
-
-def in_blocks(regions: DataFrame, sizes: DataFrame, leaf: int) -> DataFrame:
-    """Regions that no pivots separate, as regions of at most about ``leaf`` documents: each is dealt into blocks by hash, and
-    any two blocks are a region. Two documents of a region are in one of them at least."""
-    number = F.ceil(F.col("members") * 2 / leaf).cast("int")
-    blocks = sizes.select("region", F.greatest(number, F.lit(1)).alias("blocks"))
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = regions.join(blocks, "region").select("region", own.alias("own"), other, "blocks", "doc_id", "set").where("own <> other or blocks = 1")
-    return met.select(F.concat_ws("/", "region", F.least("own", "other").cast("string"), F.greatest("own", "other").cast("string")).alias("region"), "doc_id", "set")
-
-
-def shingles_of(regions: DataFrame) -> DataFrame:
-    """regions (doc_id, set) -> doc_id, n (the set's size), s: a row for each shingle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, own in zip(batch.column(0).to_pylist(), _sets(batch, "set"), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), doc)), pa.array(np.full(len(own), len(own))), pa.array(own.view(np.int64))], ["doc_id", "n", "s"])
-
-    return regions.select("doc_id", "set").mapInArrow(run, "doc_id long, n long, s long")
-
-
-def rare_regions(regions: DataFrame, percent: int) -> DataFrame:
-    """regions (region, doc_id, set) cut anew by rare shingles: documents that share one of their rarest meet.
-
-    Passages that many documents share can chain unrelated documents into one large region. A document with more shingles
-    that nobody else here holds than the threshold lets two sets differ by has no link and leaves. In an order of all
-    shingles by how many of the others hold them, two linked documents share one of the first n - ceil(t * n) + 1 of each,
-    so no link is lost, and common passages, being last, connect nothing.
-    """
-    held = shingles_of(regions).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("doc_id"))
-    lone = written(held.where("c = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("lone")), "jaccard-lone")
-    size = F.octet_length("set") / 8
-    can = (size - F.coalesce("lone", F.lit(0))) * 100 >= F.lit(percent) * size
-    alive = written(regions.join(lone, "doc_id", "left").where(can).select("doc_id", "set"), "jaccard-alive")
-    each = shingles_of(alive)
-    shared = each.groupBy("s").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    own = Window.partitionBy("doc_id")
-    met = each.join(shared, "s").withColumn("turn", F.row_number().over(own.orderBy("c", "s"))).withColumn("lone", F.col("n") - F.count(F.lit(1)).over(own))
-    first = met.where(F.col("lone") + F.col("turn") <= F.floor(F.col("n") * (100 - percent) / 100) + 1)
-    edges = written(meetings(first.select(F.col("s").alias("sig"), "doc_id")), "jaccard-meetings")
-    groups = connected_components(edges)
-    out = written(alive.join(groups.hint("merge"), F.col("doc_id") == F.col("node")).select(F.col("root").cast("string").alias("region"), "doc_id", "set"), "jaccard-rare")
-    for table in (lone, alive, edges):
-        forget(table)
+    sizes = written(regions.groupBy("region").agg(F.count(F.lit(1)).alias("m")).select("region", F.when(F.col("m") > leaf, F.ceil(F.col("m") * 2 / leaf)).otherwise(1).cast("int").alias("blocks")), "jaccard-sizes")
+    own, other = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = regions.join(sizes, "region").select("region", "rid", "blocks", own, other).where("own <> other or blocks = 1")
+    met = met.select("region", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "rid").join(members.select("rid", "set"), "rid")
+    out = written(met.groupBy("region", "lo", "hi").applyInArrow(joined, "u long, v long"), "jaccard-leaves")
+    forget(sizes)
     return out
 
 
-def join_regions(regions: DataFrame, percent: int, leaf: int = LEAF) -> list[DataFrame]:
-    """Tables of edges (u, v) of all regions (region string, doc_id, set). Those larger than ``leaf`` are cut anew by rare
-    shingles, and what is still large by pivots."""
-    sizes = regions.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
-    large = written(sizes.where(F.col("members") > leaf).select("region"), "jaccard-large")
-    if is_empty(large):
-        return [written(join_leaves(regions, percent), "jaccard-edges")]
-    small = written(join_leaves(regions.join(large, "region", "left_anti"), percent), "jaccard-edges")
-    return [small, *join_by_pivots(rare_regions(regions.join(large, "region", "left_semi"), percent), percent, leaf)]
-
-
-def join_by_pivots(regions: DataFrame, percent: int, leaf: int = LEAF) -> list[DataFrame]:
-    """Tables of edges (u, v) of all regions, by recursion on those larger than ``leaf``.
-
-    A document can be in the windows of many pivots. A region whose pivots' regions together hold more than APART times its
-    documents would only grow by the recursion, so it is joined in blocks, and so is what is still large after LEVELS.
-    """
-    radius = 1 - percent / 100 + 1e-9
-    tables, now = [], regions
-    for level in range(LEVELS + 1):
-        sizes = now.groupBy("region").agg(F.count(F.lit(1)).alias("members"))
-        large = written(sizes.where(F.col("members") > leaf), "jaccard-large")
-        if is_empty(large):
-            tables.append(written(join_leaves(now, percent), "jaccard-edges"))
-            return tables
-        names = large.select("region")
-        tables.append(written(join_leaves(now.join(names, "region", "left_anti"), percent), "jaccard-edges"))
-        wide = now.join(names, "region", "left_semi")
-        if level == LEVELS:
-            tables.append(written(join_leaves(in_blocks(wide, large, leaf), percent), "jaccard-edges"))
-            return tables
-        cut = written(split(wide, percent, level), "jaccard-split")
-        held = cut.groupBy(F.col("parent").alias("region")).agg(F.count(F.lit(1)).alias("rows"))
-        close = written(large.join(held, "region").where(F.col("rows") > APART * F.col("members")).select("region", "members"), "jaccard-close")
-        tables.append(written(join_leaves(in_blocks(wide.join(close.select("region"), "region", "left_semi"), close, leaf), percent), "jaccard-edges"))
-        apart = cut.join(close.select(F.col("region").alias("parent")), "parent", "left_anti")
-        tables.append(written(apart.where("ball and doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v")), "jaccard-edges"))
-        # of those linked with the pivot, only such stay as can be linked with one that is not
-        outer = apart.where("not ball").groupBy("region").agg(F.min("away").alias("outer"))
-        kept = apart.join(outer, "region").where(F.col("pivot").isNull() | ~F.col("ball") | (F.col("away") + radius >= F.col("outer")))
-        after = written(kept.select("region", "doc_id", "set"), "jaccard-regions")
-        forget(cut)
+def join(members: DataFrame, percent: int, leaf: int = LEAF, levels: int = LEVELS) -> tuple[list[DataFrame], list[DataFrame]]:
+    """members (rid, n, set; sets are distinct) -> tables of cores (rid, core) and of edges (u, v) between cores, or documents
+    without one. Together they connect exactly what the links do. Each level joins the far region of the one before by
+    pivots of its own, until its regions are no larger than ``leaf``; what pivots don't separate is joined in blocks."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent: over 50, as documents at distance 2r must share a shingle; at most 100")
+    cores, edges, now, slow, level = [], [], members, False, 0
+    while not is_empty(now):
+        index = inverted(now, percent)
+        led = leaders(index)
+        regions = regions_of(index, led) if level else None
+        last = level and (slow or level == levels or is_empty(regions.groupBy("region").count().where(F.col("count") > leaf)))
+        if last:
+            edges.append(join_leaves(now, regions, percent, leaf))
+            far = None
+        else:
+            (own, *links), far, slow = join_level(now, index, led, percent, leaf)
+            cores.append(own)
+            edges += links
+        for t in (index, led, *([regions] if level else [])):
+            forget(t)
         if level:
             forget(now)
-        now = after
-    return tables
+        if last:
+            break
+        now, level = far, level + 1
+    return cores, edges
+
+
+def union(tables: list[DataFrame], spark, schema: str) -> DataFrame:
+    out = spark.createDataFrame([], schema)
+    for t in tables:
+        out = out.unionByName(t)
+    return out
 
 
 def components(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = LEAF) -> DataFrame:
@@ -406,35 +369,37 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, leaf: int = L
     reachable by links. Rows with equal sets are joined once, so copies need no comparison. Rows repeated with one doc_id
     are one document of several sets; rows with null doc_id take the component of their set and give it no id. Empty
     tables give no rows. Other columns are ignored.
+
+    A shingle is a 64-bit hash: a set of n shingles is told wrong with a chance of n^2 / 2^65. Equal sets are those of equal
+    128-bit hashes.
     """
-    classes = Classes(percent)
-    table = written(prints(docs, words, classes), "jaccard-prints")
-    firsts = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
-    single = table.where("key is not null and doc_id is not null and size(sigs) > 0").join(firsts, "key").where("doc_id = first")
-    edges = written(meetings(single.select(F.explode("sigs").alias("sig"), "doc_id")), "jaccard-meetings")
-    groups = written(connected_components(edges), "jaccard-groups")
-    forget(edges)
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in text_slabs(batches, 2, SLAB):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([s.tobytes() for s in shingle_sets([t.encode("utf-8", "replace") for t in texts], words)], pa.binary())], ["region", "doc_id", "set"])
-
-    # by merge at every size: the groups grow with the input, so a plan that holds for small inputs only is of no use
-    held = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(groups.hint("merge"), "node")
-    members = held.select(F.col("root").cast("string").alias("region"), F.col("node").alias("doc_id"), "text").mapInArrow(sets, "region string, doc_id long, set binary")
-    regions = written(members.where(F.octet_length("set") > 0), "jaccard-members")
-    tables = join_regions(regions, percent, leaf)
-    forget(regions)
-    links = tables[0]
-    for t in tables[1:]:
-        links = links.unionByName(t)
+    spark = docs.sparkSession
+    table = written(prints(docs, words), "jaccard-prints")
+    firsts = table.where("key is not null").groupBy("key").agg(F.min("rid").alias("first"), F.min("doc_id").alias("id"), F.first("own").alias("own"), F.first("n").alias("n"))
+    firsts = written(firsts, "jaccard-firsts")
+    members = company(table, firsts, percent)
+    cores, edges = join(members, percent, leaf)
+    forget(members)
+    held = union([t.select("rid", "core") for t in cores], spark, "rid long, core long")
+    owners = firsts.select("key", "id", "first").join(held, F.col("first") == F.col("rid"), "left").select("key", "id", F.coalesce("core", "first").alias("node"))
+    owners = written(owners, "jaccard-owners")
+    links = union(edges, spark, "u long, v long")
     # one document of several sets connects them
-    twice = table.where("key is not null and doc_id is not null").join(firsts, "key").where("first <> doc_id")
-    again = twice.join(table.groupBy("doc_id").agg(F.count_distinct("key").alias("sets")).where("sets > 1"), "doc_id").select(F.col("doc_id").alias("u"), F.col("first").alias("v"))
-    trees = connected_components(links.unionByName(again))
-    rows = table.select("doc_id", "n", "key").join(firsts, "key", "left")
-    rows = rows.join(trees.withColumnRenamed("node", "first"), "first", "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "first", "doc_id").alias("component_id"))
+    named = table.where("key is not null and doc_id is not null").select("doc_id", "key", "own")
+    twice = written(named.groupBy("doc_id").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("doc_id"), "jaccard-twice")
+    if not is_empty(twice):
+        sets = named.join(twice, "doc_id").select("doc_id", "key").distinct().join(owners, "key").select("doc_id", "node")
+        least = sets.groupBy("doc_id").agg(F.min("node").alias("least"))
+        links = links.unionByName(sets.join(least, "doc_id").select(F.col("node").alias("u"), F.col("least").alias("v")))
+    trees = written(connected_components(links), "jaccard-trees")
+    placed = written(owners.join(trees, "node", "left").select("key", "id", F.coalesce("root", "node").alias("root")), "jaccard-placed")
+    ids = written(placed.groupBy("root").agg(F.min("id").alias("component_id")), "jaccard-ids")
+    found = written(placed.join(ids, "root").select("key", "component_id"), "jaccard-found")
+    for t in (*cores, *edges, owners, twice, trees, placed, ids, firsts):
+        forget(t)
+    rows = table.select("doc_id", F.col("n").alias("n_shingles"), "key")
+    full = rows.where("key is not null").join(found, "key").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return full.unionByName(rows.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -366,17 +366,19 @@ def test_jaccard_components_equal_brute_force(spark, k, percent, leaf):
     assert len({c for _, c in want.values()}) < len(rows) - 20
 
 
-@pytest.mark.parametrize(("groups", "leaf", "join"), [(1, 40, "join_regions"), (1, 6, "join_by_pivots"), (5, 40, "join_by_pivots"), (5, 6, "join_regions")])
-def test_jaccard_regions_recurse_or_go_by_blocks(spark, groups, leaf, join):
-    """One region: of groups far from each other, which pivots separate, and of one group that they don't."""
+@pytest.mark.parametrize(("groups", "leaf", "percent"), [(1, 40, 90), (1, 6, 90), (5, 6, 90), (5, 6, 80), (12, 3, 60)])
+def test_jaccard_regions_recurse_and_go_by_blocks(spark, groups, leaf, percent):
+    """Groups far from each other, which pivots separate, and dense ones, which they do not; leaves small enough to recurse."""
     import numpy as np
 
-    r, rows = np.random.default_rng(groups), []
+    r, rows, seen = np.random.default_rng(groups), [], set()
     for _ in range(groups):
-        base = np.unique(r.integers(0, 1 << 63, 60).astype(np.uint64))
+        base = np.unique(r.integers(0, 1 << 62, 60))
         for _ in range(60 // groups):
-            own = np.concatenate([r.permutation(base)[int(r.integers(0, 9)) :], r.integers(0, 1 << 63, int(r.integers(0, 4))).astype(np.uint64)])
-            rows.append((len(rows) + 1, np.unique(own)))
+            own = np.unique(np.concatenate([r.permutation(base)[int(r.integers(0, 9)) :], r.integers(0, 1 << 62, int(r.integers(0, 4)))]))
+            if own.tobytes() not in seen:
+                seen.add(own.tobytes())
+                rows.append((len(rows) + 1, own))
     root = {i: i for i, _ in rows}
 
     def find(i):
@@ -392,32 +394,24 @@ def test_jaccard_regions_recurse_or_go_by_blocks(spark, groups, leaf, join):
             root[max(x, y)] = min(x, y)
         return {i: find(i) for i in root}
 
-    close = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 90 * len(np.union1d(a, b))
-    want = joined([(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if close(a, b)])
-    region = spark.createDataFrame([("0", i, bytearray(a.tobytes())) for i, a in rows], "region string, doc_id long, set binary")
-    edges = [(e.u, e.v) for t in getattr(jaccard_join, join)(region, 90, leaf) for e in t.collect()]
-    assert joined(edges) == want
-    assert groups < len(set(want.values())) < len(rows)
-
-
-def test_jaccard_signatures_meet_for_every_linked_pair():
-    """Any two sets at the threshold share a signature, whatever their sizes."""
-    import numpy as np
-
-    r = np.random.default_rng(1)
-    for percent in (90, 80):
-        classes = jaccard_join.Classes(percent)
-        for _ in range(300):
-            n = int(r.integers(4, 400))
-            a = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
-            most = (100 - percent) * 2 * len(a) // (100 + percent)
-            cut, add = sorted(r.integers(0, most + 1, 2))[0], int(r.integers(0, most + 1))
-            b = np.unique(np.concatenate([r.permutation(a)[cut:], r.integers(0, 1 << 63, add).astype(np.uint64)]))
-            both = len(np.intersect1d(a, b))
-            if 100 * both < percent * (len(a) + len(b) - both) or np.array_equal(a, b):
-                continue
-            owner, sig = jaccard_join.signatures([a, b], classes)
-            assert set(sig[owner == 0].tolist()) & set(sig[owner == 1].tolist()), (len(a), len(b), both)
+    close = lambda a, b: 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b))
+    linked = [(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if close(a, b)]
+    members = spark.createDataFrame([(i, len(a), a.tolist()) for i, a in rows], "rid long, n long, set array<long>")
+    cores, edges = jaccard_join.join(members, percent, leaf)
+    within = {(c.rid, c.core) for t in cores for c in t.collect() if c.rid != c.core}
+    assert all((min(p), max(p)) in linked for p in within)  # a document's core is within the radius
+    assert joined(linked) == joined([*within, *((e.u, e.v) for t in edges for e in t.collect())])
+    assert cores and (within or groups == 1)
+
+
+def test_jaccard_radius_and_repeated_ids(spark):
+    with pytest.raises(ValueError):
+        jaccard_join.join(spark.createDataFrame([], "rid long, n long, set array<long>"), 50)
+    a, b = prose(1, 60), prose(2, 60)
+    near = lambda t: t + " more"
+    rows = [(9, a), (9, b), (5, near(a)), (7, near(b)), (None, near(near(a))), (8, prose(3, 60))]
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted((r.doc_id or -1, r.component_id) for r in got) == [(-1, 5), (5, 5), (7, 5), (8, 8), (9, 5), (9, 5)]
 
 
 def test_jaccard_on_awkward_rows(docs, none):
