@@ -65,7 +65,19 @@ def step(state: dict | None, event_type: str, payload: dict, ops: list[dict]) ->
     """One event's ops on one key's row: the row after it (None: no row) and how many status changes were refused.
 
     Each op has "on" (event types; none for all), "when" (members that must be equal; missing equals null), "op", "field" and
-    "value" (a payload member, or "=text" for a constant); status has "from", the states it may leave."""
+    "value" (a payload member, or "=text" for a constant). Ops go in their order:
+
+    set        puts the value; a missing member changes nothing
+    unset      takes the field away; without a row there is none after it
+    increment  adds a whole number to the field, which counts as 0 unless it is one; any other value adds nothing
+    max, min   put the value if there is none, or both are numbers or texts and it is larger (smaller)
+    append     adds the value to the list unless it is there; a field that is no list counts as empty
+    remove     takes the first equal element out of a list; anything else stays as it is
+    status     puts the value unless "from", the states it may leave, or "transitions", the states that each state may turn
+               into, refuse it; the value already held is no change and not refused
+    delete     takes the row away
+
+    A set, increment, max, min, append, remove or permitted status makes a row where there is none."""
     refused = 0
     for op in ops:
         if op.get("on") and event_type not in op["on"]:
@@ -74,39 +86,58 @@ def step(state: dict | None, event_type: str, payload: dict, ops: list[dict]) ->
             continue
         kind, field, source = op["op"], op.get("field"), op.get("value", "")
         constant = source.startswith("=")
+        missing = not constant and source not in payload
         value = source[1:] if constant else payload.get(source)
+        row = {} if state is None else dict(state)
+        held = row.get(field)
         if kind == "delete":
             state = None
             continue
-        state = {} if state is None else dict(state)
-        held = state.get(field)
-        if kind == "set":
-            if constant or source in payload:  # a missing member is no null
-                state[field] = value
-        elif kind == "unset":
-            state.pop(field, None)
+        if kind == "unset":
+            if state is not None:
+                row.pop(field, None)
+                state = row
+            continue
+        if kind == "status":
+            if missing:
+                continue
+            if held is not None and held != value and not _may(op, held, value):
+                refused += 1
+                continue
+            row[field] = value
+        elif kind == "set":
+            if not missing:
+                row[field] = value
         elif kind == "increment":
-            if _number(value):
-                state[field] = (held if _number(held) else 0) + value
+            if _whole(value):
+                row[field] = (held if _whole(held) else 0) + value
         elif kind in ("max", "min"):
             like = _number(value) and _number(held) or isinstance(value, str) and isinstance(held, str)
-            if value is not None and (held is None or like and (value > held if kind == "max" else value < held)):
-                state[field] = value
+            if not missing and (held is None or like and (value > held if kind == "max" else value < held)):
+                row[field] = value
         elif kind == "append":
-            if value is not None and value not in (held or []):
-                state[field] = [*(held or []), value]
+            own = held if isinstance(held, list) else []
+            if not missing and value not in own:
+                row[field] = [*own, value]
         elif kind == "remove":
-            state[field] = [x for x in held or [] if x != value]
-        elif kind == "status":
-            if held is None or held in op.get("from", [held]):
-                state[field] = value
-            else:
-                refused += 1
+            if not missing and isinstance(held, list) and value in held:
+                row[field] = [*held[: held.index(value)], *held[held.index(value) + 1 :]]
         else:
             raise ValueError(f"no such op: {kind}")
+        state = row
     return state, refused
 
 
+def _may(op: dict, held, value) -> bool:
+    if "transitions" in op:
+        return value in op["transitions"].get(held if isinstance(held, str) else json.dumps(held), [])
+    return held in op.get("from", [held])
+
+
+def _whole(x) -> bool:
+    return isinstance(x, int) and not isinstance(x, bool)
+
+
 def _number(x) -> bool:
     return isinstance(x, (int, float)) and not isinstance(x, bool)
 

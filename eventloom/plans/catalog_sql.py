@@ -21,12 +21,8 @@ def over_events(statement: str, oracle: str | None = None):
 
 def over_tables(statement: str, oracle: str | None = None):
     def run(spark, d):
-        for t in TABLES:
-            read_table(spark, d, t).createOrReplaceTempView(t)
         sql.register(spark)
-        text = sql.translated(statement)
-        sql.check_read_only(spark, text)
-        return spark.sql(text)
+        return sql.over({t: read_table(spark, d, t) for t in TABLES}, statement)
 
     return run, oracle or statement
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,23 +23,44 @@ class NotReadOnly(ValueError):
     """A statement that is no query."""
 
 
-def parsed_nodes(spark: SparkSession, statement: str) -> list[str]:
-    """Names of all nodes of a statement's parsed plan. The one place that uses the JVM's parser."""
+def parsed_nodes(spark: SparkSession, statement: str) -> tuple[list[str], list[list[str]], set[str]]:
+    """Of a statement's parsed plan, subqueries and common tables included: the names of all nodes, the relations it names, part
+    by part, and the names it gives to common tables. The one place that uses the JVM's parser."""
     plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(statement)
-    names, todo = [], [plan]
+    each = lambda seq: [seq.apply(i) for i in range(seq.size())]
+    names, relations, common, todo = [], [], set(), [plan]
     while todo:
         node = todo.pop()
         names.append(node.nodeName())
-        children = node.children()
-        todo += [children.apply(i) for i in range(children.size())]
-    return names
-
-
-def check_read_only(spark: SparkSession, statement: str) -> None:
-    """Raises unless every node of the parsed statement is one of a query's; text tricks such as leading comments do not help."""
-    for name in parsed_nodes(spark, statement):
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedRelation":
+            relations.append(each(node.multipartIdentifier()))
+        elif kind == "UnresolvedWith":
+            for held in each(node.cteRelations()):
+                common.add(held._1().lower())
+                todo.append(held._2())
+        todo += each(node.children())
+        inside = each(node.expressions())
+        while inside:
+            e = inside.pop()
+            if e.getClass().getSuperclass().getSimpleName() == "SubqueryExpression":
+                todo.append(e.plan())
+            inside += each(e.children())
+    return names, relations, common
+
+
+def check_read_only(spark: SparkSession, statement: str, tables: frozenset[str] = frozenset({"events"})) -> None:
+    """Raises unless every node of the parsed statement is one of a query's and reads nothing but the named tables and the
+    statement's own common tables; text tricks such as leading comments do not help."""
+    names, relations, common = parsed_nodes(spark, statement)
+    for name in names:
         if name.strip("'").split("(")[0].split()[0] not in READS:
             raise NotReadOnly(f"only queries are allowed, not {name}")
+    if common & tables:
+        raise NotReadOnly(f"taken names: {', '.join(sorted(common & tables))}")
+    for parts in relations:
+        if len(parts) != 1 or parts[0].lower() not in common | tables:
+            raise NotReadOnly(f"not a table of this statement's: {'.'.join(parts)}")
 
 
 #: Functions that other dialects call otherwise, as SQL functions of the session.
@@ -74,12 +96,25 @@ def translated(statement: str) -> str:
     return statement
 
 
-def run(events: DataFrame, statement: str, tenant_id: str | None = None) -> DataFrame:
-    """statement over a view ``events`` of one tenant's events (all, without tenant_id). The tenant's filter is part of the
-    plan, so it reaches the scan."""
-    spark = events.sparkSession
+def over(tables: dict[str, DataFrame], statement: str) -> DataFrame:
+    """statement over the tables, by their lower-case names, and nothing else. Their views have names of their own, so calls
+    with other tables of the same names do not meet."""
+    spark = next(iter(tables.values())).sparkSession
     statement = translated(statement)
-    check_read_only(spark, statement)
+    check_read_only(spark, statement, frozenset(tables))
+    views = {name: f"{name}_{uuid.uuid4().hex}" for name in tables}
+    for name, view in views.items():
+        tables[name].createOrReplaceTempView(view)
+    try:
+        held = ", ".join(f"{name} AS (SELECT * FROM {view})" for name, view in views.items())
+        return spark.sql(f"WITH {held} ({statement.strip().rstrip(';')}\n)")
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+
+
+def run(events: DataFrame, statement: str, tenant_id: str | None = None) -> DataFrame:
+    """statement over ``events``, one tenant's events (all, without tenant_id). The tenant's filter is part of the plan, so it
+    reaches the scan."""
     rows = events if tenant_id is None else events.where(F.col("tenant_id") == tenant_id)
-    rows.select(*[c for c in COLUMNS if c in events.columns], *[c for c in events.columns if c not in COLUMNS]).createOrReplaceTempView("events")
-    return spark.sql(statement)
+    return over({"events": rows.select(*[c for c in COLUMNS if c in events.columns], *[c for c in events.columns if c not in COLUMNS])}, statement)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,14 +65,26 @@ def next_versions(events: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def idempotent(events: DataFrame, hours: int = 24) -> DataFrame:
-    """The first event of each metadata.idempotency_key and day-long period; events without key all stay."""
-    from pyspark.sql import Window
-
+    """The first event of each tenant, metadata.idempotency_key and period of ``hours``: an event is dropped if it is less than
+    that after the last one kept of its key. Events without key all stay. Keyed events stream through sorted partitions, so
+    a key with any number of them holds one time."""
     key = F.get_json_object("metadata", "$.idempotency_key")
-    w = Window.partitionBy("tenant_id", key).orderBy("timestamp", "id")
-    got = events.withColumn("first_", F.first("timestamp").over(w)).withColumn("at_", F.row_number().over(w))
-    late = F.timestamp_diff("SECOND", F.col("first_"), F.col("timestamp")) >= hours * 3600
-    return got.where(key.isNull() | (F.col("at_") == 1) | late).drop("first_", "at_")
+    own = [F.coalesce("tenant_id", F.lit("")).alias("tenant_"), key.alias("key_"), F.unix_micros("timestamp").alias("micros_")]
+    keyed = events.where(key.isNotNull()).select("*", *own).repartition("tenant_", "key_").sortWithinPartitions("tenant_", "key_", "timestamp", "id")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, since = None, 0
+        for batch in batches:
+            keep = []
+            for tenant, k, at in zip(*(batch.column(c).to_pylist() for c in ("tenant_", "key_", "micros_")), strict=True):
+                fresh = (tenant, k) != held or at is None or at - since >= hours * 3_600_000_000
+                if fresh:
+                    held, since = (tenant, k), at or 0
+                keep.append(fresh)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    left = keyed.mapInArrow(first, keyed.schema).select(*events.columns)
+    return events.where(key.isNull()).unionByName(left)
 
 
 def backup(events: DataFrame, path: str) -> DataFrame:

@@ -318,3 +318,49 @@ def test_idempotent_ingest_and_versions(make):
     assert sorted(r.id for r in archive.idempotent(ev).collect()) == ["0", "2", "30"]
     new = make([event(40), event(41), event(42, entity="e9")])
     assert sorted((r.id, r.version) for r in archive.next_versions(ev, new).collect()) == [("40", 32), ("41", 33), ("42", 1)]
+
+
+def test_idempotent_period_begins_anew(make):
+    key, other = '{"idempotency_key": "k"}', '{"idempotency_key": "l"}'
+    hour = [0, 23, 25, 26, 49, 50, 74]
+    ev = make([event(h, metadata=key) for h in hour] + [event(h + 100, metadata=other) for h in (0, 24)])
+    assert sorted(int(r.id) for r in archive.idempotent(ev).collect()) == [0, 25, 49, 74, 100, 124]
+    assert archive.idempotent(ev.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("statement", [
+    "SELECT count(*) FROM parquet.`{path}`", "SELECT 1 WHERE EXISTS (SELECT 1 FROM parquet.`{path}`)", "SELECT (SELECT count(*) FROM parquet.`{path}`) AS n",
+    "SELECT * FROM events WHERE id IN (SELECT event_id FROM parquet.`{path}`)", "WITH x AS (SELECT * FROM parquet.`{path}`) SELECT count(*) FROM x",
+    "SELECT * FROM events e, LATERAL (SELECT * FROM parquet.`{path}`) p", "SELECT * FROM other_view", "WITH events AS (SELECT 1 AS a) SELECT * FROM events",
+    "SELECT id FROM events UNION ALL SELECT name FROM (SELECT 1 AS id, (SELECT max(event_id) FROM parquet.`{path}`) AS name)",
+])
+def test_sql_reads_nothing_but_the_tenants_events(spark, make, small, statement):
+    ev = make([event(1, tenant="t1"), event(2, tenant="t2")])
+    spark.range(3).createOrReplaceTempView("other_view")
+    with pytest.raises(sql.NotReadOnly):
+        sql.run(ev, statement.format(path=f"{small}/events.parquet"), "t1")
+
+
+def test_sql_of_two_tenants_do_not_meet(make):
+    ev = make([event(1, tenant="t1"), event(2, tenant="t2"), event(3, tenant="t2")])
+    one = sql.run(ev, "WITH x AS (SELECT id FROM events) SELECT count(*) AS n FROM x -- all", "t1")
+    two = sql.run(ev, "SELECT count(*) AS n FROM events WHERE id IN (SELECT id FROM events) ORDER BY n;", "t2")
+    assert (one.first().n, two.first().n) == (1, 2)
+
+
+@pytest.mark.parametrize(("state", "op", "payload", "want"), [
+    (None, {"op": "unset", "field": "a"}, {}, (None, 0)), ({"a": 1, "b": 2}, {"op": "unset", "field": "a"}, {}, ({"b": 2}, 0)),
+    (None, {"op": "remove", "field": "a", "value": "x"}, {"x": 1}, ({}, 0)), ({"a": [1, 2, 1]}, {"op": "remove", "field": "a", "value": "x"}, {"x": 1}, ({"a": [2, 1]}, 0)),
+    ({"a": "no list"}, {"op": "remove", "field": "a", "value": "x"}, {"x": 1}, ({"a": "no list"}, 0)), ({}, {"op": "remove", "field": "a", "value": "x"}, {"x": 1}, ({}, 0)),
+    ({"s": "open"}, {"op": "status", "field": "s", "value": "=open", "from": ["new"]}, {}, ({"s": "open"}, 0)),
+    ({"s": "new"}, {"op": "status", "field": "s", "value": "x", "transitions": {"new": ["open"]}}, {"x": "open"}, ({"s": "open"}, 0)),
+    ({"s": "new"}, {"op": "status", "field": "s", "value": "x", "transitions": {"new": ["open"]}}, {"x": "shut"}, ({"s": "new"}, 1)),
+    ({"s": "shut"}, {"op": "status", "field": "s", "value": "x", "transitions": {"new": ["open"]}}, {"x": "open"}, ({"s": "shut"}, 1)),
+    (None, {"op": "status", "field": "s", "value": "x", "transitions": {}}, {"x": "open"}, ({"s": "open"}, 0)), (None, {"op": "status", "field": "s", "value": "x"}, {}, (None, 0)),
+    ({"n": 2}, {"op": "increment", "field": "n", "value": "x"}, {"x": 1.5}, ({"n": 2}, 0)), ({"n": "z"}, {"op": "increment", "field": "n", "value": "x"}, {"x": 3}, ({"n": 3}, 0)),
+    ({"n": 2}, {"op": "max", "field": "n", "value": "x"}, {"x": "9"}, ({"n": 2}, 0)), ({"n": 2}, {"op": "min", "field": "n", "value": "x"}, {"x": 1}, ({"n": 1}, 0)),
+    ({"l": 5}, {"op": "append", "field": "l", "value": "x"}, {"x": 1}, ({"l": [1]}, 0)), ({"a": 1}, {"op": "set", "field": "a", "value": "x"}, {"x": None}, ({"a": None}, 0)),
+    ({"a": 1}, {"op": "set", "field": "a", "value": "x"}, {}, ({"a": 1}, 0)), ({"a": 1}, {"op": "delete"}, {}, (None, 0)),
+])
+def test_view_ops(state, op, payload, want):
+    assert declarative.step(state, "e", payload, [op]) == want
