@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import new_path, remove, without_spaces, written
+from eventloom.llm.common import forget, new_path, remove, without_spaces, written
 
 #: State on disk, and no disk set aside in advance by each of its instances.
 STATE = {
@@ -28,14 +28,14 @@ def _first(df: DataFrame) -> DataFrame:
     return df.groupBy("digest").agg(F.min("row_").alias("first_"), F.count(F.lit(1)).alias("n_"))
 
 
-def stream_state(prints: DataFrame, path: str, files: int = 64) -> DataFrame:
-    """The final state of the stream over the table of digests at path: digest, first_, n_."""
+def stream_state(prints: DataFrame, path: str, most: str = "4g") -> DataFrame:
+    """The final state of the stream over the table of digests at path, read in batches of ``most`` bytes: digest, first_, n_."""
     spark = prints.sparkSession
     kept, checkpoint = {k: spark.conf.get(k, None) for k in STATE}, new_path(spark, "dedup-state")
     for k, v in STATE.items():
         spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(prints.schema).option("maxFilesPerTrigger", files).parquet(path)
+        stream = spark.readStream.schema(prints.schema).option("maxBytesPerTrigger", most).parquet(path)
         query = _first(stream).writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
         states = spark.read.format("statestore").load(checkpoint)
@@ -71,11 +71,15 @@ def exact_dedup(docs: DataFrame, digest=sha256, salts: int = 16) -> DataFrame:
     slim = prints.select("digest", "row_")
     groups = stream_state(slim, path) if prints.limit(1).count() else _first(slim)
 
-    # hits: all texts of a digest with several rows, compared in full; salted, so that a large group meets in no task
-    hits = docs.select(digest(norm).alias("digest"), norm.alias("norm"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt"))
-    hits = hits.join(groups.where("n_ > 1").select("digest"), "digest")
+    # hits: all texts of a digest with several rows, compared in full. Their digests are a table of its own, so that Spark knows
+    # its size and sends it to the texts where it is small; else digest and salt deal the texts, so no group meets in one task
+    hit = written(groups.where("n_ > 1").select("digest"), "dedup-hits")
+    salted = hit.select("digest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    hits = docs.select(digest(norm).alias("digest"), norm.alias("norm"), F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("salt"))
+    hits = hits.join(salted, ["digest", "salt"])
     ends = hits.groupBy("digest", "salt").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     clashes = written(ends.where("lo <> hi").select("digest"), "dedup-clashes")
+    forget(hit)
 
     whole = "digest"
     if clashes.limit(1).count():  # equal digests of different texts: these digests are keyed by the text itself
@@ -99,8 +103,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("dd__row"), sha256(without_spaces(F.col("text"))).alias("dd__own"))
     same = F.col("dd__row.doc_id").eqNullSafe(F.col("dd__id")) & (F.col("dd__own") == F.col("dd__sha"))
     left = held.join(keys, same, "left_semi")
-    # rows repeated with one doc_id and one text: the longest text stays
-    longest = F.max_by("dd__row", F.coalesce(F.length("dd__row.text"), F.lit(0)))
+    # rows repeated with one doc_id and one text: the longest text stays, of equally long ones the last in text and in a hash
+    longest = F.max_by("dd__row", F.struct(F.coalesce(F.length("dd__row.text"), F.lit(0)), "dd__row.text", F.xxhash64("dd__row")))
     twice = docs.groupBy("doc_id").count().where("`count` > 1").select(F.col("doc_id").alias("dd__twice"))
     hit = F.col("dd__row.doc_id").eqNullSafe(F.col("dd__twice"))
     single = left.join(twice, hit, "left_anti").select("dd__row.*")
