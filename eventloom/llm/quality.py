@@ -18,7 +18,8 @@ STEP = 4
 CHUNK = 2 * STEP
 SEGMENT = 1024  #: bytes by segment; a multiple of STEP
 PAD = 256  #: the symbol after the end of a text
-SLAB = 1 << 20  #: bytes scored at once
+SLAB = 1 << 20  #: bytes scored at once; a multiple of SEGMENT
+PARTS = 8  #: segments of a long text that enter the training
 
 
 @dataclass(frozen=True)
@@ -62,12 +63,14 @@ def segments_of(text: bytes) -> tuple[np.ndarray, int]:
     return symbols, -(-n // SEGMENT)
 
 
-def logits(net: Net, texts: list[bytes]) -> np.ndarray:
-    """Mean segment logit of every text. One step of padding lies between texts; the chunk that begins there counts for none."""
+def logits(net: Net, pieces: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the segment logits of every piece of a text, and the number of its segments. A piece comes with the bytes that
+    follow it, which its last chunk reaches into. A step of them, or of padding, lies between pieces; the chunk that begins
+    there counts for none."""
     parts, starts, owner, steps, at = [], [], [], [], 0
-    for i, text in enumerate(texts):
-        symbols, n = segments_of(text)
-        parts += [symbols, np.full(STEP, PAD, np.int16)]
+    for i, (piece, following) in enumerate(pieces):
+        symbols, n = segments_of(piece)
+        parts += [symbols, segments_of(following[:STEP])[0]]
         starts.append(np.append(at // STEP + np.arange(n) * (SEGMENT // STEP), (at + len(symbols)) // STEP))
         owner.append(np.append(np.full(n, i), -1))
         steps.append(np.append(np.minimum(SEGMENT, len(symbols) - np.arange(n) * SEGMENT) // STEP, 1))
@@ -77,19 +80,31 @@ def logits(net: Net, texts: list[bytes]) -> np.ndarray:
     x = pooled(top, np.concatenate(steps))[own >= 0]
     own = own[own >= 0]
     each = np.maximum(x @ net.hidden + net.hidden_bias, 0) @ net.out + net.out_bias
-    return np.bincount(own, each, len(texts)) / np.bincount(own, minlength=len(texts))
+    return np.bincount(own, each, len(pieces)), np.bincount(own, minlength=len(pieces))
 
 
 def probabilities(net: Net, texts: list[bytes]) -> np.ndarray:
-    out, now, size = [], [], 0
-    for text in texts:  # slabs of bounded size; a text longer than that is a slab of its own
-        if now and size + len(text) > SLAB:
-            out.append(logits(net, now))
-            now, size = [], 0
-        now.append(text)
-        size += len(text) + CHUNK
-    out += [logits(net, now)] if now else []
-    z = np.concatenate(out) if out else np.zeros(0)
+    """Of slabs of bounded size, into which texts longer than one are cut where segments end."""
+    total, number = np.zeros(len(texts)), np.zeros(len(texts))
+    now, owner, size = [], [], 0
+
+    def score() -> None:
+        sums, n = logits(net, now)
+        np.add.at(total, owner, sums)
+        np.add.at(number, owner, n)
+
+    for i, text in enumerate(texts):
+        for a in range(0, max(1, len(text)), SLAB):
+            piece = text[a : a + SLAB]
+            if now and size + len(piece) > SLAB:
+                score()
+                now, owner, size = [], [], 0
+            now.append((piece, text[a + SLAB : a + SLAB + STEP]))
+            owner.append(i)
+            size += len(piece) + CHUNK
+    if now:
+        score()
+    z = total / np.maximum(number, 1)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -163,19 +178,20 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, crop: int = 2 * SEGMENT) -> Net:
-    """Trains on at most ``sample`` labelled rows, a third of class 0, those with the smallest hash of their ids, outside the
-    held-out fold; of a text longer than ``crop`` characters, a window at a place given by the id's hash. Both are bounds on
-    what the driver reads; scoring has no such bound. Labels other than 0 and 1 and rows without id are ignored; without any
-    usable label the network is untrained and scores 0.5."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, parts: int = PARTS) -> Net:
+    """Trains on at most ``sample`` labelled rows, a third of class 0 (the rarer one, which would have too few rows else), those
+    with the smallest hash of their ids, outside the held-out fold. Of a text over ``parts`` segments, that many segments
+    spread evenly over all of it are read. Both are bounds on what the driver reads; scoring has no such bound. Labels other
+    than 0 and 1 and rows without id are ignored; without any usable label the network is untrained and scores 0.5."""
     own = labels.select(F.col("doc_id").alias("id_"), F.col("quality").cast("int").alias("y_")).where("id_ is not null and y_ in (0, 1)").where(~held_out(F.col("id_")))
     picks = [own.where(F.col("y_") == y).orderBy(F.xxhash64("id_"), "id_").limit(n) for y, n in ((0, sample // 3), (1, sample - sample // 3))]
     picked = {int(r.id_): int(r.y_) for r in picks[0].unionByName(picks[1]).collect()}
-    room = F.greatest(F.length("text") - F.lit(crop), F.lit(0)) + 1
-    window = F.substring("text", (F.pmod(F.xxhash64("doc_id", F.lit(1)), room) + 1).cast("int"), F.lit(crop))
+    room = F.length("text") - SEGMENT
+    spread = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring("text", (F.floor(room * i / max(1, parts - 1)) + 1).cast("int"), F.lit(SEGMENT)))
+    windows = F.when(F.length("text") > parts * SEGMENT, spread).otherwise(F.array(F.coalesce("text", F.lit(""))))
     ids = docs.sparkSession.createDataFrame([(k,) for k in picked], "id_ long")  # of at most ``sample`` rows
-    got = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id_")).select("doc_id", window.alias("w")).collect()
-    got = sorted({(int(r.doc_id), r.w or "") for r in got})
+    got = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id_")).select("doc_id", F.explode(windows).alias("w")).collect()
+    got = sorted({(int(r.doc_id), r.w) for r in got})
     return train([w.encode() for _, w in got], np.array([picked[i] for i, _ in got]))
 
 
