@@ -28,7 +28,7 @@ def _first(df: DataFrame) -> DataFrame:
     return df.groupBy("digest").agg(F.min("row_").alias("first_"), F.count(F.lit(1)).alias("n_"))
 
 
-def stream_state(prints: DataFrame, path: str, most: str = "4g") -> DataFrame:
+def stream_state(prints: DataFrame, path: str, most: int = 4_000_000_000) -> DataFrame:
     """The final state of the stream over the table of digests at path, read in batches of ``most`` bytes: digest, first_, n_."""
     spark = prints.sparkSession
     kept, checkpoint = {k: spark.conf.get(k, None) for k in STATE}, new_path(spark, "dedup-state")
