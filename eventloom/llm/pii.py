@@ -1,10 +1,11 @@
 """Personal data by weak supervision, with DataFrame functions only.
 
 Regexes propose spans. For the kinds without a fixed form - secrets given as name=value, key-shaped tokens and names after a
-title - three labelers vote on every proposal: its form, a gazetteer of names and words, and its context. Votes are counted
-by pattern, expectation-maximisation over those few counts estimates how reliable each labeler is, and the posteriors train
-a logistic span classifier on the span's features, again over counts by feature pattern. Spans that it accepts are added to
-the base kinds, whose rules decide alone. Every step is a Column or an aggregate; the driver sees pattern counts only.
+title - three labelers vote on every proposal, each by evidence of its own: the value's form, a gazetteer (what the value
+is called, how issued keys begin, given names), and the words before the span. Votes are counted by pattern,
+expectation-maximisation over those few counts estimates how reliable each labeler is, and the posteriors train a logistic
+span classifier on features of the value, none of them a vote, again over counts by pattern. Spans that the classifier
+accepts, and no others, are added to the base kinds, whose rules decide alone. Every step is a Column or an aggregate; the driver sees pattern counts only.
 """
 
 from __future__ import annotations
@@ -40,7 +41,15 @@ ISSUED = "AKIA|ASIA|AIza|gh[opsur]_|github_pat_|xox[abeoprs]-"
 #: Words that tell of personal data nearby.
 AROUND = "login|account|user|contact|signed|dear|credential|key|token|password|secret"
 LABELERS = ("form", "gazetteer", "context")
-FEATURES = ("digits", "letters", "long", "mixed", "assigned", "listed", "near")
+FEATURES = ("digits", "letters", "long", "mixed", "varied", "cases", "quoted", "words")
+#: Frequent given names, the gazetteer of personal names.
+GIVEN = """
+james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles
+karen christopher lisa daniel nancy matthew betty anthony margaret mark sandra donald ashley steven kimberly paul emily andrew donna
+joshua michelle kenneth carol kevin amanda brian dorothy george melissa edward deborah peter anna hans maria jean pierre marie jacques
+claude juan jose carlos ana luis carmen pedro laura paolo giulia marco francesca ivan olga sergei elena wei li ming hiroshi yuki ahmed
+fatima mohammed aisha omar priya raj sven ingrid lars astrid
+"""
 
 
 def spans(text: Column, pattern: str) -> Column:
@@ -115,18 +124,22 @@ def votes(kind: Column, t: Column, before: Column) -> list[Column]:
     """What each labeler says: 1 personal, 0 not."""
     value = value_of(t)
     form = F.when(kind == "name", t.rlike(r"\x20\p{Lu}\p{Ll}+\x20\p{Lu}")).otherwise(value.rlike("[0-9]") & value.rlike("[A-Za-z]"))
-    listed = F.when(kind == "name", t.rlike("^(?:Mr|Mrs|Ms|Dr|Prof)")).when(kind == "key", t.rlike(f"^(?:{ISSUED})")).otherwise(F.lower(t).rlike(f"^(?:{WORDS})"))
-    near = F.lower(F.concat(before, t)).rlike(AROUND)
+    given = "|".join(GIVEN.split())
+    listed = F.when(kind == "name", F.lower(t).rlike(rf"^\w+\.?\x20(?:{given})\b")).when(kind == "key", t.rlike(f"^(?:{ISSUED})")).otherwise(F.lower(t).rlike(f"^(?:{WORDS})"))
+    near = F.lower(before).rlike(AROUND)
     return [F.coalesce(x, F.lit(False)).cast("int") for x in (form, listed, near)]
 
 
 def features(kind: Column, t: Column, before: Column) -> list[Column]:
     value = value_of(t)
-    n = F.length(value)
-    few = F.length(digits(value))
-    flags = [few * 4 >= n, F.length(F.regexp_replace(value, "[^A-Za-z]", "")) * 4 >= n, n >= 16, value.rlike("[0-9][A-Za-z]") & value.rlike("[A-Za-z][0-9]"), t.rlike("[=:]")]
-    form, listed, near = votes(kind, t, before)
-    return [F.coalesce(x, F.lit(False)).cast("int") for x in flags] + [listed, near]
+    bare = F.regexp_replace(value, "\x22", "")
+    n = F.length(bare)
+    few = F.length(digits(bare))
+    flags = [
+        few * 4 >= n, F.length(F.regexp_replace(bare, "[^A-Za-z]", "")) * 4 >= n, n >= 16, bare.rlike("[0-9][A-Za-z]") & bare.rlike("[A-Za-z][0-9]"),
+        F.size(F.array_distinct(F.split(bare, ""))) >= 10, bare.rlike("[a-z]") & bare.rlike("[A-Z]"), value.startswith("\x22"), bare.rlike(r"\x20\p{L}+\x20"),
+    ]
+    return [F.coalesce(x, F.lit(False)).cast("int") for x in flags]
 
 
 @dataclass(frozen=True)
@@ -196,7 +209,7 @@ def fit(docs: DataFrame) -> Model:
 
 
 def accepted(model: Model, p: Column) -> Column:
-    """The classifier's probability of a proposal is at least one half, and so at least two labelers say so."""
+    """The classifier's probability of a proposal is at least one half."""
     kind, t, before = p["kind"], p["t"], p["before"]
     x = features(kind, t, before)
     out = F.lit(False)
@@ -205,8 +218,7 @@ def accepted(model: Model, p: Column) -> Column:
         for a, b in zip(w, x, strict=False):
             z = z + F.lit(a) * b
         out = F.when(kind == k, z >= 0).otherwise(out)
-    two = sum(votes(kind, t, before)[1:], votes(kind, t, before)[0]) >= 2
-    return out & two
+    return out
 
 
 def named(kind: str, found: Column) -> Column:
@@ -227,7 +239,7 @@ def find(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def pii(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans: one row per input row.
+    """docs (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans: one row per input row.
 
     spans lists the base kinds in their order and then the added kinds by name, each by start. Texts without personal data
     have the digest of the empty string and empty spans. Empty tables give no rows.
@@ -241,4 +253,5 @@ def pii(docs: DataFrame) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(base, 256).alias("base_sha256"),
         F.concat_ws(",", F.nullif(base, F.lit("")), F.nullif(more, F.lit(""))).alias("spans"),
+        (sum([F.size(k) for k in BASE], F.size("added"))).cast("long").alias("n_spans"),
     )
