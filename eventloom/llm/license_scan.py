@@ -105,8 +105,67 @@ FORMS = (
     (60, "under", r"under\s+(?:the\s+terms\s+of\s+)?(?:the\s+)?{name}"),
     (40, "", r"(?:the\s+)?{name}"),
 )
+#: Between the words of a signature.
+BETWEEN = r"[^a-z0-9]+"
 #: The bare name says too little here.
 BARE_TOO_SHORT = frozenset({"mit"})
+#: What license texts and notices say, also without a name: label, priority, the rarest of its words, and the words. Between
+#: words may stand space, punctuation and the signs of comments; {n} is any word.
+SIGNATURES = (
+    ("mit", 55, "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", 50, "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 45, "noninfringement", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("isc", 55, "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", 55, "hereby", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("bsd-0", 50, "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("bsd-2", 45, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd-2", 44, "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-2", 44, "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"),
+    ("bsd-2", 43, "contributors", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    ("bsd-3", 55, "endorse", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4", 55, "advertising", "all advertising materials mentioning features or use of this software must display the following"),
+    ("apache-2", 60, "compliance", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2", 45, "compliance", "you may not use this file except in compliance with the license"),
+    ("apache-2", 45, "applicable", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2", 50, "reproduction", "terms and conditions for use reproduction and distribution 1 definitions"),
+    ("apache-2", 50, "perpetual", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-1", 50, "acknowledgment", "the end user documentation included with the redistribution if any must include the following acknowledgment"),
+    ("gpl-2", 85, "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2"),
+    ("gpl-3", 85, "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3"),
+    ("gpl-2", 50, "freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3", 50, "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-3", 50, "freedom", "the licenses for most software and other practical works are designed to take away your freedom to share and change the works"),
+    ("lgpl-2", 85, "redistribute", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2"),
+    ("lgpl-2", 85, "redistribute", "you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2"),
+    ("lgpl-3", 85, "redistribute", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3"),
+    ("agpl-3", 85, "redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3"),
+    ("agpl-3", 50, "cooperation", "specifically designed to ensure cooperation with the community in the case of network server software"),
+    ("gfdl", 85, "invariant", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license version {n} {n} or any later version published by the free software foundation with no invariant sections"),
+    ("mpl-2", 85, "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", 50, "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1", 85, "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1", 85, "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0"),
+    ("epl-2", 85, "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
+    ("cddl", 85, "contents", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("bsl-1", 60, "organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("zlib", 55, "arising", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", 55, "misrepresented", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("unlicense", 60, "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", 50, "compile", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", 60, "want", "you just do what the {n} you want to"),
+    ("cc0-1", 50, "waiving", "dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
+    ("ofl-1", 60, "typefaces", "no copy of one or more of the font software typefaces may be sold by itself"),
+    ("ofl-1", 60, "font", "this font software is licensed under the sil open font license version 1 1"),
+    ("artistic-2", 55, "package", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("artistic-1", 55, "semblance", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control"),
+    ("psf-2", 60, "psf", "psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce"),
+    ("postgresql", 60, "agreement", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("ms-pl", 55, "governs", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("eupl-1", 60, "eupl", "licensed under the eupl"),
+    ("proprietary", 40, "confidential", "this software is the confidential and proprietary information of"),
+    ("proprietary", 40, "retrieval", "no part of this publication may be reproduced stored in a retrieval system or transmitted"),
+    ("proprietary", 40, "prohibited", "unauthorized copying of this file via any medium is strictly prohibited"),
+)
 #: What stands for the name in SPDX tags.
 TAG = "spdx-license-identifier"
 
@@ -116,8 +175,8 @@ def edge(regex: str) -> str:
 
 
 def rules() -> list[tuple[str, str, str, str, int, str]]:
-    """(keyword, second keyword, regex over texts lowered in A-Z, label, priority, name), the strongest first: forms by license
-    and SPDX tags. A form without a word of its own has the name's keyword twice. No regex matches a text without both
+    """(keyword, second keyword, regex over texts lowered in A-Z, label, priority, name), the strongest first: forms by license,
+    SPDX tags and signatures of license texts, whose names are they themselves. A form without a word of its own has the name's keyword twice. No regex matches a text without both
     keywords and a match of name."""
     out = []
     for x in LICENSES:
@@ -127,6 +186,9 @@ def rules() -> list[tuple[str, str, str, str, int, str]]:
             out.append((x.keyword, word or x.keyword, edge(form.format(name=f"(?:{x.name})")), x.label, priority, edge(x.name)))
         for spdx in x.spdx:
             out.append((TAG, spdx, edge(TAG + r"\s*:\s*" + spdx.replace(".", r"\.")), x.label, 100, TAG))
+    for label, priority, word, words in SIGNATURES:
+        regex = edge(BETWEEN.join(r"\w+" if w == "{n}" else w for w in words.split()))
+        out.append((word, word, regex, label, priority, regex))
     return sorted(out, key=lambda r: -r[4])
 
 

@@ -440,3 +440,41 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "u long, v long")).collect()}
     assert got == {i: find(i) for i in root if any(i in p and p[0] != p[1] for p in pairs)}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_license_texts_without_a_name(spark):
+    from eventloom.llm.license_scan import LICENSES, SIGNATURES, rules
+
+    assert {label for label, *_ in SIGNATURES} <= {x.label for x in LICENSES}
+    assert all(word in words.replace("{n}", "x").split() for _, _, word, words in SIGNATURES)
+    text = lambda words: " * " + words.replace("{n}", "some").replace(" and ", ",\n// and ").title()
+    rows = [(i, text(words)) for i, (*_, words) in enumerate(SIGNATURES)] + [(1000, "The contents of this file are subject to review; permission to use it is granted.")]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (label, priority, *_) in enumerate(SIGNATURES):
+        assert any(f.label == label and f.priority >= priority for f in got[i].found), SIGNATURES[i]
+    assert not got[1000].found
+    # every rule's gate holds for what the rule matches: a text that it matches alone is found without any other words
+    assert all(k and f for k, f, *_ in rules())
+
+
+def test_pii_classifier_decides(spark):
+    """Planted secrets among look-alikes: a plain reading of the words and values, and the classifier changes results."""
+    r = random.Random(5)
+    token = lambda: "".join(r.choice("0123456789abcdef") for _ in range(32))
+    rows, planted = [], set()
+    for i in range(120):
+        if i % 3 == 0:
+            rows.append((i, f"please keep the account safe: password={token()} and more"))
+            planted.add(i)
+        elif i % 3 == 1:
+            rows.append((i, f"the chapter says heading=introductionandoverview{'abcdefgh'[i % 8]} here"))
+        else:
+            rows.append((i, "plain words " + prose(i, 20)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(docs)
+    got = {q.doc_id for q in pii.pii(docs).where("spans like '%secret:%'").collect()}
+    assert got == planted
+    assert {q.doc_id for q in pii.find(docs, pii.Model(weights={"secret": [0.0] * len(pii.FEATURES) + [-1.0]})).where("size(added) > 0").collect()} == set()
+    assert all(q.n_spans == (1 if q.doc_id in planted else 0) for q in pii.pii(docs).collect())
+    (p, q) = model.reliability["secret"][0]
+    assert p > q
