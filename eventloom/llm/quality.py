@@ -18,7 +18,7 @@ STEP = 4
 CHUNK = 2 * STEP
 SEGMENT = 1024  #: bytes by segment; a multiple of STEP
 PAD = 256  #: the symbol after the end of a text
-SLAB = 1 << 20  #: bytes scored at once; a multiple of SEGMENT
+SLAB = 1 << 18  #: bytes scored at once, at about 120 bytes of memory each; a multiple of SEGMENT
 PARTS = 8  #: segments of a long text that enter the training
 
 
