@@ -26,7 +26,7 @@ from eventloom.llm.common import connected_components, forget, is_empty, text_sl
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 LOWERED = bytes.maketrans(UPPER, LOWER)
-SLAB = 4_000_000  #: bytes of text hashed at once
+SLAB = 1_000_000  #: bytes of text hashed at once
 LEAF = 1500  #: documents of a region that meet in one task
 SHINGLES = 2_000_000  #: shingles of those documents
 LEVELS = 6  #: levels of pivots after which what is far is joined in blocks, as soon as a level leaves more than half
