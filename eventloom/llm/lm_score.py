@@ -1,11 +1,12 @@
 """Language-model scores: masked pseudo-likelihood with a bidirectional window network in numpy.
 
-Every token is predicted from the tokens on both its sides. Tokens are words; the network predicts a word's class - the
-most frequent words are classes of their own, all others share some by hash - and a word's chance within its class comes
-from its own count over the corpus: the counts of all words are a table that grows with the corpus and is joined to the
-documents' words. How often each class stands between each two others is counted over all documents; these
-counts are all that the network's training needs, so it is trained on the whole corpus at a cost that does not depend on
-its size. A document's score is the sum of its tokens' conditional log-probabilities.
+Every token is predicted from the two tokens on each of its sides. Tokens are words; the network has classes for some
+thousands of words - the most frequent words are classes of their own, all others share some by hash - and a word's chance
+within a shared class comes from its own count over the corpus: the counts of all words are a table that grows with the
+corpus and is joined to the documents' words. The network sums embeddings of the context's classes by place and predicts
+first a group of classes, then the class within the group, both from the context. It is trained on all tokens of all
+documents: in each pass every task trains its own copy on its share of the texts, and the copies' rows are averaged, each
+weighing as often as its task met it. A document's score is the sum of its tokens' conditional log-probabilities.
 """
 
 from __future__ import annotations
@@ -19,12 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import SPACES, text_slabs, written
-
-TOP = 48  #: words that are classes of their own
-SHARED = 15  #: classes that all other words share
-EDGE = TOP + SHARED  #: the class before the first and after the last token
-CLASSES = EDGE + 1
+from eventloom.llm.common import SPACES, forget, text_slabs, written
+
+MEMBERS = 64  #: classes of a group
+GROUPS = 64
+CLASSES = GROUPS * MEMBERS
+SHARED = 2 * MEMBERS - 1  #: classes that all words share that have none of their own
+TOP = CLASSES - SHARED - 1  #: words that are classes of their own, by frequency
+EDGE = TOP + SHARED  #: the class around a text
+REACH = 2  #: tokens to each side
+PLACES = [i for i in range(-REACH, REACH + 1) if i]
+WIDTH = 24
+BATCH = 4096  #: tokens of a training step
+BLOCKS = 32  #: parts in which copies of the network are averaged
 FREQUENT = 20_000  #: words whose counts go to the tasks with the code; all others' are joined
 SLAB = 4_000_000
 
@@ -48,7 +56,7 @@ class Shares:
 class Model:
     top: dict[bytes, int]  # word -> its class
     within: Shares  # log of a word's share of its class
-    table: np.ndarray  # (CLASSES, CLASSES, CLASSES): log p(class | left, right) at [left, class, right]
+    net: np.ndarray  # the network's rows, see parts()
 
 
 def lower_words(text: bytes) -> list[bytes]:
@@ -76,12 +84,12 @@ def class_of(codes: np.ndarray) -> np.ndarray:
 
 
 def coded(texts: list[str], top: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all texts' words with an EDGE before each text and one at the end, and each text's number of words."""
+    """Codes of all texts' words with REACH times EDGE before each text and at the end, and each text's number of words."""
     lookup, rows = Lookup(top), []
     for t in texts:
         words = lower_words(t.encode("utf-8", "replace"))
         rows.append(np.fromiter(map(lookup.__getitem__, words), np.int64, len(words)))
-    edge = np.array([EDGE])
+    edge = np.full(REACH, EDGE)
     return np.concatenate([x for r in rows for x in (edge, r)] + [edge]), np.array([len(r) for r in rows], np.int64)
 
 
@@ -92,73 +100,166 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return words.select(F.translate("raw", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def contexts(docs: DataFrame, top: dict[bytes, int]) -> DataFrame:
-    """cell ((left * CLASSES + class) * CLASSES + right), n over all tokens of all documents."""
+def parts(net: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Views of a network: embeddings by place and class, output rows of classes and of groups (their biases last), and the
+    hidden layer's bias."""
+    n = len(PLACES) * CLASSES
+    return net[:n].reshape(len(PLACES), CLASSES, -1)[:, :, :WIDTH], net[n : n + CLASSES], net[n + CLASSES : -1], net[-1, :WIDTH]
+
+
+def start(counts: np.ndarray, seed: int = 3) -> np.ndarray:
+    """A network that gives every class its share of the counts (and one), whatever the context."""
+    net = np.zeros((len(PLACES) * CLASSES + CLASSES + GROUPS + 1, WIDTH + 1), np.float32)
+    embeddings, classes, groups, _ = parts(net)
+    embeddings[:] = 0.3 * np.random.default_rng(seed).standard_normal(embeddings.shape)
+    classes[:, WIDTH] = np.log(counts + 1.0)
+    groups[:, WIDTH] = np.log((counts + 1.0).reshape(GROUPS, MEMBERS).sum(1))
+    return net
+
+
+def softmax(z: np.ndarray) -> np.ndarray:
+    z = np.exp(z - z.max(1, keepdims=True))
+    return z / z.sum(1, keepdims=True)
+
+
+def hidden(net: np.ndarray, near: np.ndarray) -> np.ndarray:
+    embeddings, _, _, bias = parts(net)
+    return np.tanh(sum(e[near[:, j]] for j, e in enumerate(embeddings)) + bias)
+
+
+def grouped(group: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each group that occurs, with the places where it does."""
+    order = np.argsort(group.astype(np.uint16), kind="stable")
+    found, first = np.unique(group[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, first[1:]), strict=True))
+
+
+def windows(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of classes with edges: where tokens stand, and the classes around each of them."""
+    at = np.flatnonzero(c != EDGE)
+    return at, np.stack([c[at + i] for i in PLACES], 1)
+
+
+def log_chances(net: np.ndarray, near: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log p(target | near) of each window."""
+    _, classes, groups, _ = parts(net)
+    out = np.zeros(len(target))
+    for a in range(0, len(target), BATCH):
+        h, t = hidden(net, near[a : a + BATCH]), target[a : a + BATCH]
+        group, member = np.divmod(t, MEMBERS)
+        got = np.log(softmax(h @ groups[:, :WIDTH].T + groups[:, WIDTH])[np.arange(len(t)), group]).astype(float)
+        for g, i in grouped(group):
+            rows = classes[g * MEMBERS : (g + 1) * MEMBERS]
+            got[i] += np.log(softmax(h[i] @ rows[:, :WIDTH].T + rows[:, WIDTH])[np.arange(len(i)), member[i]])
+        out[a : a + BATCH] = got
+    return out
+
+
+class Trainer:
+    """A task's copy of the network: steps by Adagrad, and how often each row was met."""
+
+    def __init__(self, net: np.ndarray, rate: float):
+        self.net, self.rate = net.copy(), rate
+        self.past = np.ones_like(net)
+        self.met = np.zeros(len(net), np.float32)
+
+    def move(self, rows, gradient: np.ndarray, met) -> None:
+        """Against the gradient of some rows (an index or a slice) that were met so often."""
+        n = gradient.shape[1]
+        past = self.past[rows, :n] + gradient * gradient
+        self.past[rows, :n] = past
+        self.net[rows, :n] -= self.rate * gradient / np.sqrt(past)
+        self.met[rows] += met
+
+    def step(self, near: np.ndarray, target: np.ndarray) -> None:
+        _, classes, groups, _ = parts(self.net)
+        h, n = hidden(self.net, near), len(PLACES) * CLASSES
+        with_one = np.hstack([h, np.ones((len(h), 1), np.float32)])
+        group, member = np.divmod(target, MEMBERS)
+        off = softmax(h @ groups[:, :WIDTH].T + groups[:, WIDTH])
+        off[np.arange(len(h)), group] -= 1
+        back = off @ groups[:, :WIDTH]
+        for g, i in grouped(group):
+            rows = classes[g * MEMBERS : (g + 1) * MEMBERS]
+            miss = softmax(h[i] @ rows[:, :WIDTH].T + rows[:, WIDTH])
+            miss[np.arange(len(i)), member[i]] -= 1
+            back[i] += miss @ rows[:, :WIDTH]
+            self.move(slice(n + g * MEMBERS, n + (g + 1) * MEMBERS), miss.T @ with_one[i], len(i))
+        self.move(slice(n + CLASSES, n + CLASSES + GROUPS), off.T @ with_one, len(h))
+        back *= 1 - h * h
+        self.move(slice(len(self.net) - 1, None), back.sum(0, keepdims=True), len(h))
+        for j in range(len(PLACES)):
+            order = np.argsort(near[:, j].astype(np.uint16), kind="stable")
+            found, first = np.unique(near[order, j], return_index=True)
+            self.move(j * CLASSES + found, np.add.reduceat(back[order], first), np.diff(first, append=len(order)))
+
+
+def averaged(docs: DataFrame, top: dict[bytes, int], net: np.ndarray, rate: float) -> np.ndarray:
+    """One pass over all tokens: the mean of all tasks' copies, row by row, by how often each task met the row.
+
+    A task emits the rows that it met, in blocks; a block's sums are added up in one task, batch by batch, and make one row. To
+    the driver comes one network."""
+    per = -(-len(net) // BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES**3, np.int64)
+        trainer, r = Trainer(net, rate), np.random.default_rng(5)
         for _, texts in text_slabs(batches, 0, SLAB):
-            codes, _ = coded(texts, top)
-            c = class_of(codes)
-            at = np.flatnonzero(c[1:-1] != EDGE) + 1
-            total += np.bincount((c[at - 1] * CLASSES + c[at]) * CLASSES + c[at + 1], minlength=CLASSES**3)
-        (full,) = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], ["cell", "n"])
-
-    return docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def train(counts: np.ndarray, rounds: int = 200, width: int = 16, hidden: int = 32, rate: float = 0.02, seed: int = 3) -> np.ndarray:
-    """counts[left, class, right] -> log p(class | left, right) at [left, class, right], by a network of two embeddings, one
-    hidden layer and a softmax over classes, fitted by Adam to all contexts, each weighing as often as it occurs."""
-    r = np.random.default_rng(seed)
-    c = CLASSES
-    target = counts.transpose(0, 2, 1).reshape(c * c, c).astype(np.float64)
-    seen = target.sum(1)
-    total = max(1.0, seen.sum())
-    p = {"l": r.standard_normal((c, width)), "r": r.standard_normal((c, width)), "w": r.standard_normal((2 * width, hidden)) / np.sqrt(2 * width), "b": np.zeros(hidden), "o": np.zeros((hidden, c)), "ob": np.log((target.sum(0) + 1) / (total + c))}
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    left, right = np.divmod(np.arange(c * c), c)
-
-    def forward(i: np.ndarray):
-        x = np.hstack([p["l"][left[i]], p["r"][right[i]]])
-        h = np.tanh(x @ p["w"] + p["b"])
-        z = h @ p["o"] + p["ob"]
-        z -= z.max(1, keepdims=True)
-        return x, h, z - np.log(np.exp(z).sum(1, keepdims=True))
-
-    use = np.flatnonzero(seen)
-    for t in range(1, rounds + 1 if len(use) else 1):
-        x, h, logp = forward(use)
-        dz = (np.exp(logp) * seen[use][:, None] - target[use]) / total
-        dh = (dz @ p["o"].T) * (1 - h * h)
-        dx = dh @ p["w"].T
-        g = {"o": h.T @ dz, "ob": dz.sum(0), "w": x.T @ dh, "b": dh.sum(0), "l": np.zeros_like(p["l"]), "r": np.zeros_like(p["r"])}
-        np.add.at(g["l"], left[use], dx[:, :width])
-        np.add.at(g["r"], right[use], dx[:, width:])
-        for k in p:
-            m[k] = 0.9 * m[k] + 0.1 * g[k]
-            v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-10)
-    return forward(np.arange(c * c))[2].reshape(c, c, c).transpose(0, 2, 1).copy()
-
-
-def fit(docs: DataFrame, rounds: int = 200) -> Model:
-    """Counts over all of docs and the network trained on them. The counts of all words stay a table in the shared folder; to
-    the driver come TOP + FREQUENT words, SHARED sums and CLASSES^3 cells at most, whatever the input."""
+            c = class_of(coded(texts, top)[0])
+            at, near = windows(c)
+            order = r.permutation(len(at))
+            for a in range(0, len(at), BATCH):
+                i = order[a : a + BATCH]
+                trainer.step(near[i], c[at[i]])
+        for k in range(BLOCKS):
+            rows = np.flatnonzero(trainer.met[k * per : (k + 1) * per])
+            if len(rows):
+                met, values = trainer.met[k * per + rows, None], trainer.net[k * per + rows]
+                yield packed(k, rows, np.hstack([values * met, met]))
+
+    def packed(block: int, rows: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([rows.astype(np.int32).tobytes()]), pa.array([sums.astype(np.float32).tobytes()])], ["block", "rows", "sums"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, rows, sums in zip(*[x.to_pylist() for x in batch.columns], strict=True):
+                total = totals.setdefault(block, np.zeros((per, WIDTH + 2)))
+                total[np.frombuffer(rows, np.int32)] += np.frombuffer(sums, np.float32).reshape(-1, WIDTH + 2)
+        for block, total in totals.items():
+            rows = np.flatnonzero(total[:, -1])
+            yield packed(block, rows, total[rows])
+
+    schema = "block int, rows binary, sums binary"
+    table = written(docs.select("text").mapInArrow(run, schema).repartition(BLOCKS, "block").mapInArrow(added, schema), "lm-network")
+    out = net.copy()
+    for r in table.collect():
+        sums = np.frombuffer(r["sums"], np.float32).reshape(-1, WIDTH + 2)
+        out[r.block * per + np.frombuffer(r["rows"], np.int32)] = sums[:, :-1] / sums[:, -1:]
+    forget(table)
+    return out
+
+
+def fit(docs: DataFrame, passes: int = 1, rate: float = 0.2) -> Model:
+    """Counts over all of docs and the network trained on all of docs. The counts of all words stay a table in the shared
+    folder; to the driver come TOP + FREQUENT words, SHARED sums and a network a pass at most, whatever the input."""
     h = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 15), 16, 10).cast("long")
     words = written(word_counts(docs).select("word", h.alias("h"), "n"), "lm-words")
-    top = {r.word.encode(): i for i, r in enumerate(words.orderBy(F.desc("n"), "word").limit(TOP).collect())}
-    others = words.where(~F.col("word").isin([w.decode() for w in top])) if top else words
+    counts = np.zeros(CLASSES)
+    top = {}
+    for i, r in enumerate(words.orderBy(F.desc("n"), "word").limit(TOP).collect()):
+        top[r.word.encode()], counts[i] = i, r.n
+        last = (r.n, r.word)
+    others = words.where((F.col("n") < last[0]) | ((F.col("n") == last[0]) & (F.col("word") > last[1]))) if top else words
     totals = np.ones(SHARED)
     for r in others.groupBy((F.col("h") % SHARED).alias("c")).agg(F.sum(F.col("n") + 1).alias("n")).collect():
         totals[r.c] += r.n
     often = sorted((r.h, r.n) for r in others.select("h", "n").orderBy(F.desc("n"), "h").limit(FREQUENT).collect())
     frequent, n = np.array([(-1, 0), *often], np.int64).T
-    counts = np.zeros(CLASSES**3, np.int64)
-    for r in contexts(docs, top).collect():
-        counts[r.cell] = r.n
-    return Model(top, Shares(others.select("h", "n"), frequent, n, totals), train(counts.reshape(CLASSES, CLASSES, CLASSES), rounds))
+    counts[TOP:EDGE] = totals - 1
+    net = start(counts)
+    for _ in range(passes):
+        net = averaged(docs, top, net, rate)
+    return Model(top, Shares(others.select("h", "n"), frequent, n, totals), net)
 
 
 def text_numbers(texts: list[str]) -> np.ndarray:
@@ -172,7 +273,7 @@ def scores(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows. Other columns are ignored. The table of the model's counts is read when the result is.
     """
     model = model or fit(docs)
-    top, table, frequent, n_frequent, totals = model.top, model.table, model.within.frequent, model.within.n, model.within.totals
+    top, net, frequent, n_frequent, totals = model.top, model.net, model.within.frequent, model.within.n, model.within.totals
 
     def placed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the words that are not top ones: where they stand, their numbers and their place in frequent, 0 if in none."""
@@ -191,8 +292,8 @@ def scores(docs: DataFrame, model: Model | None = None) -> DataFrame:
             each[others] = np.log(n_frequent[k] + 1) - np.log(totals[h % SHARED])
             open_ = np.zeros(len(codes))
             open_[others] = k == 0
-            at = np.flatnonzero(c[1:-1] != EDGE) + 1
-            each[at] += table[c[at - 1], c[at], c[at + 1]]
+            at, near = windows(c)
+            each[at] += log_chances(net, near, c[at])
             row = np.repeat(np.arange(len(sizes)), sizes)
             total, rest = np.bincount(row, each[at], len(sizes)), np.bincount(row, open_[at], len(sizes)).astype(np.int64)
             key = pa.array(text_numbers(texts))
@@ -204,7 +305,7 @@ def scores(docs: DataFrame, model: Model | None = None) -> DataFrame:
             codes, _ = coded(texts, top)
             at, h, k = placed(codes)
             words, place = np.unique(h[k == 0], return_inverse=True)
-            row = np.cumsum(codes == EDGE)[at[k == 0]] - 1
+            row = np.cumsum(codes == EDGE)[at[k == 0]] // REACH - 1
             pairs, n = np.unique(row * max(1, len(words)) + place, return_counts=True)
             row, place = np.divmod(pairs, max(1, len(words)))
             yield pa.RecordBatch.from_arrays([pa.array(text_numbers(texts)[row]), pa.array(words[place]), pa.array(n)], ["key", "h", "m"])
