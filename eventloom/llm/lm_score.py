@@ -22,19 +22,20 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import SPACES, forget, text_slabs, written
 
-MEMBERS = 64  #: classes of a group
-GROUPS = 64
+MEMBERS = 48  #: classes of a group
+GROUPS = 48
 CLASSES = GROUPS * MEMBERS
 SHARED = 2 * MEMBERS - 1  #: classes that all words share that have none of their own
 TOP = CLASSES - SHARED - 1  #: words that are classes of their own, by frequency
 EDGE = TOP + SHARED  #: the class around a text
 REACH = 2  #: tokens to each side
 PLACES = [i for i in range(-REACH, REACH + 1) if i]
-WIDTH = 24
+WIDTH = 16
 BATCH = 4096  #: tokens of a training step
 BLOCKS = 32  #: parts in which copies of the network are averaged
-FREQUENT = 20_000  #: words whose counts go to the tasks with the code; all others' are joined
+FREQUENT = 100_000  #: words whose counts go to the tasks with the code; all others' are joined
 SLAB = 4_000_000
+REMEMBERED = 300_000  #: words whose codes a task keeps from slab to slab
 
 
 @dataclass(frozen=True)
@@ -83,9 +84,9 @@ def class_of(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < CLASSES, codes, TOP + (codes - CLASSES) % SHARED)
 
 
-def coded(texts: list[str], top: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def coded(texts: list[str], lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all texts' words with REACH times EDGE before each text and at the end, and each text's number of words."""
-    lookup, rows = Lookup(top), []
+    rows = []
     for t in texts:
         words = lower_words(t.encode("utf-8", "replace"))
         rows.append(np.fromiter(map(lookup.__getitem__, words), np.int64, len(words)))
@@ -93,6 +94,15 @@ def coded(texts: list[str], top: dict[bytes, int]) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([x for r in rows for x in (edge, r)] + [edge]), np.array([len(r) for r in rows], np.int64)
 
 
+def coded_slabs(batches: Iterator[pa.RecordBatch], column: int, top: dict[bytes, int]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, np.ndarray]]:
+    """The batches in slabs: rows, texts, and what coded() gives; codes once found are kept while they are not too many."""
+    lookup = Lookup(top)
+    for part, texts in text_slabs(batches, column, SLAB):
+        if len(lookup) > len(top) + REMEMBERED:
+            lookup = Lookup(top)
+        yield part, texts, *coded(texts, lookup)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (A-Z lowered), n over all documents."""
     trimmed = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES))
@@ -127,11 +137,16 @@ def hidden(net: np.ndarray, near: np.ndarray) -> np.ndarray:
     return np.tanh(sum(e[near[:, j]] for j, e in enumerate(embeddings)) + bias)
 
 
-def grouped(group: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """Each group that occurs, with the places where it does."""
-    order = np.argsort(group.astype(np.uint16), kind="stable")
-    found, first = np.unique(group[order], return_index=True)
-    return list(zip(found.tolist(), np.split(order, first[1:]), strict=True))
+def grouped(group: np.ndarray) -> list[tuple[int, slice]]:
+    """Each group that occurs in an ascending array, and where."""
+    found, first = np.unique(group, return_index=True)
+    return [(g, slice(a, b)) for g, a, b in zip(found.tolist(), first, [*first[1:], len(group)], strict=True)]
+
+
+def by_target(near: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows in the order of their targets, and that order."""
+    order = np.argsort(target.astype(np.uint16), kind="stable")
+    return near[order], target[order], order
 
 
 def windows(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,13 +160,15 @@ def log_chances(net: np.ndarray, near: np.ndarray, target: np.ndarray) -> np.nda
     _, classes, groups, _ = parts(net)
     out = np.zeros(len(target))
     for a in range(0, len(target), BATCH):
-        h, t = hidden(net, near[a : a + BATCH]), target[a : a + BATCH]
+        x, t, order = by_target(near[a : a + BATCH], target[a : a + BATCH])
+        h = hidden(net, x)
         group, member = np.divmod(t, MEMBERS)
         got = np.log(softmax(h @ groups[:, :WIDTH].T + groups[:, WIDTH])[np.arange(len(t)), group]).astype(float)
         for g, i in grouped(group):
             rows = classes[g * MEMBERS : (g + 1) * MEMBERS]
-            got[i] += np.log(softmax(h[i] @ rows[:, :WIDTH].T + rows[:, WIDTH])[np.arange(len(i)), member[i]])
-        out[a : a + BATCH] = got
+            chance = softmax(h[i] @ rows[:, :WIDTH].T + rows[:, WIDTH])
+            got[i] += np.log(chance[np.arange(len(chance)), member[i]])
+        out[a + order] = got
     return out
 
 
@@ -173,6 +190,7 @@ class Trainer:
 
     def step(self, near: np.ndarray, target: np.ndarray) -> None:
         _, classes, groups, _ = parts(self.net)
+        near, target, _ = by_target(near, target)
         h, n = hidden(self.net, near), len(PLACES) * CLASSES
         with_one = np.hstack([h, np.ones((len(h), 1), np.float32)])
         group, member = np.divmod(target, MEMBERS)
@@ -182,9 +200,9 @@ class Trainer:
         for g, i in grouped(group):
             rows = classes[g * MEMBERS : (g + 1) * MEMBERS]
             miss = softmax(h[i] @ rows[:, :WIDTH].T + rows[:, WIDTH])
-            miss[np.arange(len(i)), member[i]] -= 1
+            miss[np.arange(len(miss)), member[i]] -= 1
             back[i] += miss @ rows[:, :WIDTH]
-            self.move(slice(n + g * MEMBERS, n + (g + 1) * MEMBERS), miss.T @ with_one[i], len(i))
+            self.move(slice(n + g * MEMBERS, n + (g + 1) * MEMBERS), miss.T @ with_one[i], len(miss))
         self.move(slice(n + CLASSES, n + CLASSES + GROUPS), off.T @ with_one, len(h))
         back *= 1 - h * h
         self.move(slice(len(self.net) - 1, None), back.sum(0, keepdims=True), len(h))
@@ -203,8 +221,8 @@ def averaged(docs: DataFrame, top: dict[bytes, int], net: np.ndarray, rate: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, r = Trainer(net, rate), np.random.default_rng(5)
-        for _, texts in text_slabs(batches, 0, SLAB):
-            c = class_of(coded(texts, top)[0])
+        for *_, codes, _ in coded_slabs(batches, 0, top):
+            c = class_of(codes)
             at, near = windows(c)
             order = r.permutation(len(at))
             for a in range(0, len(at), BATCH):
@@ -284,8 +302,7 @@ def scores(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All of a text's log-probability but the logs of the counts that are to be joined, and the number of those."""
-        for part, texts in text_slabs(batches, 1, SLAB):
-            codes, sizes = coded(texts, top)
+        for part, texts, codes, sizes in coded_slabs(batches, 1, top):
             c = class_of(codes)
             others, h, k = placed(codes)
             each = np.zeros(len(codes))
@@ -301,8 +318,7 @@ def scores(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each text's words whose counts are to be joined, and how often it has them."""
-        for _, texts in text_slabs(batches, 0, SLAB):
-            codes, _ = coded(texts, top)
+        for _, texts, codes, _ in coded_slabs(batches, 0, top):
             at, h, k = placed(codes)
             words, place = np.unique(h[k == 0], return_inverse=True)
             row = np.cumsum(codes == EDGE)[at[k == 0]] // REACH - 1
