@@ -27,7 +27,8 @@ def edges_at(created: DataFrame, deleted: DataFrame) -> DataFrame:
     return first.join(deleted.select("edge").distinct(), "edge", "left_anti")
 
 
-def neighbors(edges: DataFrame, node, direction: str = "both") -> DataFrame:
+def neighbors(edges: DataFrame, node, direction: str = "both", relation: str | None = None) -> DataFrame:
+    edges = edges.where(F.col("relation") == relation) if relation is not None else edges
     out = edges.where(F.col("src") == node).select(F.col("dst").alias("node"))
     back = edges.where(F.col("dst") == node).select(F.col("src").alias("node"))
     return {"out": out, "in": back, "both": out.union(back)}[direction].distinct()

@@ -96,19 +96,32 @@ def fused(first: DataFrame, second: DataFrame, weights: tuple[float, float] = (0
     return a.join(b, "id", "full_outer").select("id", (part("r1", weights[0]) + part("r2", weights[1])).alias("score"))
 
 
-def boolean_query(query: str, text: Column) -> Column:
-    """A small query language: words, "phrases", prefix*, -negated; all must hold."""
-    out = F.lit(True)
-    padded = F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
-    for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', query):
+def boolean_query(query: str, text: Column, fields: dict[str, Column] | None = None) -> Column:
+    """A small query language: words, "phrases", wild*c?rds, field:word, -negated, a OR b; all clauses must hold.
+
+    OR binds the clauses beside it. A field that is not among ``fields`` is an error."""
+    padded = {name: F.concat(F.lit(" "), F.array_join(tokens(c), " "), F.lit(" ")) for name, c in {"": text, **(fields or {})}.items()}
+    held: list[Column] = []
+    joined = False
+    for minus, field, phrase, word in re.findall(r'(-?)(?:([A-Za-z_]\w*):)?(?:"([^"]*)"|(\S+))', query):
+        if word == "OR" and not minus and not field:
+            joined = bool(held)
+            continue
+        if field not in padded:
+            raise ValueError(f"unknown field {field}")
         body = (phrase or word).lower()
-        star = not phrase and body.endswith("*")
-        words = re.findall(r"[^\W_]+", body)
+        words = re.findall(r"[^\W_]+" if phrase else r"(?:[^\W_]|[*?])+", body)
         if not words:
             continue
-        hit = padded.contains(" " + " ".join(words) + ("" if star else " "))
-        out = out & (~hit if minus else hit)
-    return out
+        if any(c in w for w in words for c in "*?"):
+            wild = {"*": r"[^ ]*", "?": r"[^ ]"}
+            hit = padded[field].rlike(" " + " ".join("".join(wild.get(c, c) for c in w) for w in words) + " ")
+        else:
+            hit = padded[field].contains(" " + " ".join(words) + " ")
+        hit = ~hit if minus else hit
+        held[len(held) - joined :] = [held[-1] | hit if joined else hit]
+        joined = False
+    return reduce(lambda x, y: x & y, held, F.lit(True))
 
 
 def geo_query(events: DataFrame, center: tuple[float, float] | None = None, radius_km: float | None = None, box: tuple[float, float, float, float] | None = None, compat: bool = False) -> DataFrame:

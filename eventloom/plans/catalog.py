@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from eventloom.plans import catalog_events, catalog_graph, catalog_more, catalog_search, catalog_sql, catalog_state
+from eventloom.plans import catalog_events, catalog_graph, catalog_more, catalog_reads, catalog_search, catalog_sql, catalog_state
 
-PARTS = (catalog_events, catalog_state, catalog_search, catalog_graph, catalog_sql, catalog_more)
+PARTS = (catalog_events, catalog_state, catalog_search, catalog_graph, catalog_sql, catalog_more, catalog_reads)
 
 
 def queries() -> dict:
