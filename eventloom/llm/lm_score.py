@@ -30,7 +30,7 @@ TOP = CLASSES - SHARED - 1  #: words that are classes of their own, by frequency
 EDGE = TOP + SHARED  #: the class around a text
 REACH = 2  #: tokens to each side
 PLACES = [i for i in range(-REACH, REACH + 1) if i]
-WIDTH = 16
+WIDTH = 16  #: hidden units; the last one is always 1, so that a row's last number is its bias
 BATCH = 4096  #: tokens of a training step
 BLOCKS = 32  #: parts in which copies of the network are averaged
 FREQUENT = 100_000  #: words whose counts go to the tasks with the code; all others' are joined
@@ -111,19 +111,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def parts(net: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Views of a network: embeddings by place and class, output rows of classes and of groups (their biases last), and the
-    hidden layer's bias."""
+    """Views of a network: embeddings by place and class, output rows of classes and of groups, and the hidden layer's
+    bias."""
     n = len(PLACES) * CLASSES
-    return net[:n].reshape(len(PLACES), CLASSES, -1)[:, :, :WIDTH], net[n : n + CLASSES], net[n + CLASSES : -1], net[-1, :WIDTH]
+    return net[:n].reshape(len(PLACES), CLASSES, WIDTH), net[n : n + CLASSES], net[n + CLASSES : -1], net[-1]
 
 
 def start(counts: np.ndarray, seed: int = 3) -> np.ndarray:
     """A network that gives every class its share of the counts (and one), whatever the context."""
-    net = np.zeros((len(PLACES) * CLASSES + CLASSES + GROUPS + 1, WIDTH + 1), np.float32)
+    net = np.zeros((len(PLACES) * CLASSES + CLASSES + GROUPS + 1, WIDTH), np.float32)
     embeddings, classes, groups, _ = parts(net)
     embeddings[:] = 0.3 * np.random.default_rng(seed).standard_normal(embeddings.shape)
-    classes[:, WIDTH] = np.log(counts + 1.0)
-    groups[:, WIDTH] = np.log((counts + 1.0).reshape(GROUPS, MEMBERS).sum(1))
+    classes[:, -1] = np.log(counts + 1.0)
+    groups[:, -1] = np.log((counts + 1.0).reshape(GROUPS, MEMBERS).sum(1))
     return net
 
 
@@ -134,7 +134,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def hidden(net: np.ndarray, near: np.ndarray) -> np.ndarray:
     embeddings, _, _, bias = parts(net)
-    return np.tanh(sum(e[near[:, j]] for j, e in enumerate(embeddings)) + bias)
+    h = np.tanh(sum(e[near[:, j]] for j, e in enumerate(embeddings)) + bias)
+    h[:, -1] = 1
+    return h
 
 
 def grouped(group: np.ndarray) -> list[tuple[int, slice]]:
@@ -163,10 +165,10 @@ def log_chances(net: np.ndarray, near: np.ndarray, target: np.ndarray) -> np.nda
         x, t, order = by_target(near[a : a + BATCH], target[a : a + BATCH])
         h = hidden(net, x)
         group, member = np.divmod(t, MEMBERS)
-        got = np.log(softmax(h @ groups[:, :WIDTH].T + groups[:, WIDTH])[np.arange(len(t)), group]).astype(float)
+        got = np.log(softmax(h @ groups.T)[np.arange(len(t)), group]).astype(float)
         for g, i in grouped(group):
             rows = classes[g * MEMBERS : (g + 1) * MEMBERS]
-            chance = softmax(h[i] @ rows[:, :WIDTH].T + rows[:, WIDTH])
+            chance = softmax(h[i] @ rows.T)
             got[i] += np.log(chance[np.arange(len(chance)), member[i]])
         out[a + order] = got
     return out
@@ -182,29 +184,27 @@ class Trainer:
 
     def move(self, rows, gradient: np.ndarray, met) -> None:
         """Against the gradient of some rows (an index or a slice) that were met so often."""
-        n = gradient.shape[1]
-        past = self.past[rows, :n] + gradient * gradient
-        self.past[rows, :n] = past
-        self.net[rows, :n] -= self.rate * gradient / np.sqrt(past)
+        past = self.past[rows] + gradient * gradient
+        self.past[rows] = past
+        self.net[rows] -= self.rate * gradient / np.sqrt(past)
         self.met[rows] += met
 
     def step(self, near: np.ndarray, target: np.ndarray) -> None:
         _, classes, groups, _ = parts(self.net)
         near, target, _ = by_target(near, target)
         h, n = hidden(self.net, near), len(PLACES) * CLASSES
-        with_one = np.hstack([h, np.ones((len(h), 1), np.float32)])
         group, member = np.divmod(target, MEMBERS)
-        off = softmax(h @ groups[:, :WIDTH].T + groups[:, WIDTH])
+        off = softmax(h @ groups.T)
         off[np.arange(len(h)), group] -= 1
-        back = off @ groups[:, :WIDTH]
+        back = off @ groups
         for g, i in grouped(group):
             rows = classes[g * MEMBERS : (g + 1) * MEMBERS]
-            miss = softmax(h[i] @ rows[:, :WIDTH].T + rows[:, WIDTH])
+            miss = softmax(h[i] @ rows.T)
             miss[np.arange(len(miss)), member[i]] -= 1
-            back[i] += miss @ rows[:, :WIDTH]
-            self.move(slice(n + g * MEMBERS, n + (g + 1) * MEMBERS), miss.T @ with_one[i], len(miss))
-        self.move(slice(n + CLASSES, n + CLASSES + GROUPS), off.T @ with_one, len(h))
-        back *= 1 - h * h
+            back[i] += miss @ rows
+            self.move(slice(n + g * MEMBERS, n + (g + 1) * MEMBERS), miss.T @ h[i], len(miss))
+        self.move(slice(n + CLASSES, n + CLASSES + GROUPS), off.T @ h, len(h))
+        back *= 1 - h * h  # 0 for the last unit
         self.move(slice(len(self.net) - 1, None), back.sum(0, keepdims=True), len(h))
         for j in range(len(PLACES)):
             order = np.argsort(near[:, j].astype(np.uint16), kind="stable")
@@ -241,8 +241,8 @@ def averaged(docs: DataFrame, top: dict[bytes, int], net: np.ndarray, rate: floa
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, rows, sums in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                total = totals.setdefault(block, np.zeros((per, WIDTH + 2)))
-                total[np.frombuffer(rows, np.int32)] += np.frombuffer(sums, np.float32).reshape(-1, WIDTH + 2)
+                total = totals.setdefault(block, np.zeros((per, WIDTH + 1)))
+                total[np.frombuffer(rows, np.int32)] += np.frombuffer(sums, np.float32).reshape(-1, WIDTH + 1)
         for block, total in totals.items():
             rows = np.flatnonzero(total[:, -1])
             yield packed(block, rows, total[rows])
@@ -251,7 +251,7 @@ def averaged(docs: DataFrame, top: dict[bytes, int], net: np.ndarray, rate: floa
     table = written(docs.select("text").mapInArrow(run, schema).repartition(BLOCKS, "block").mapInArrow(added, schema), "lm-network")
     out = net.copy()
     for r in table.collect():
-        sums = np.frombuffer(r["sums"], np.float32).reshape(-1, WIDTH + 2)
+        sums = np.frombuffer(r["sums"], np.float32).reshape(-1, WIDTH + 1)
         out[r.block * per + np.frombuffer(r["rows"], np.int32)] = sums[:, :-1] / sums[:, -1:]
     forget(table)
     return out

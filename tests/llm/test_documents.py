@@ -227,7 +227,7 @@ def chance(model, codes, k):
 
     c = [int(lm_score.class_of(np.array(x))) for x in codes]
     embeddings, classes, groups, bias = (x.astype(float) for x in lm_score.parts(model.net))
-    h = np.tanh(bias + sum(embeddings[j][c[k + i]] for j, i in enumerate(lm_score.PLACES)))
+    h = np.tanh(bias + sum(embeddings[j][c[k + i]] for j, i in enumerate(lm_score.PLACES)))[:-1]
     group, member = divmod(c[k], lm_score.MEMBERS)
     rows = classes[group * lm_score.MEMBERS : (group + 1) * lm_score.MEMBERS]
     out = logs([g[:-1] @ h + g[-1] for g in groups])[group] + logs([w[:-1] @ h + w[-1] for w in rows])[member]
@@ -254,7 +254,7 @@ def test_lm_scores(docs, none):
 def test_lm_gradient_is_the_loss_s():
     """A step's gradient equals differences of the loss, for rows of every kind."""
     r = np.random.default_rng(0)
-    net = (lm_score.start(r.integers(0, 9, lm_score.CLASSES)) + 0.1 * r.standard_normal((1, lm_score.WIDTH + 1))).astype(float)
+    net = (lm_score.start(r.integers(0, 9, lm_score.CLASSES)) + 0.1 * r.standard_normal((1, lm_score.WIDTH))).astype(float)
     near, target = r.integers(0, lm_score.CLASSES, (40, len(lm_score.PLACES))), r.integers(0, 200, 40)
     trainer = lm_score.Trainer(net, 1.0)
     trainer.past[:] = 1e12  # steps are the gradient's then, by 1e-6
