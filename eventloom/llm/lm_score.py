@@ -7,6 +7,8 @@ corpus and is joined to the documents' words. The network sums embeddings of the
 first a group of classes, then the class within the group, both from the context. It is trained on all tokens of all
 documents: in each pass every task trains its own copy on its share of the texts, and the copies' rows are averaged, each
 weighing as often as its task met it. A document's score is the sum of its tokens' conditional log-probabilities.
+
+Texts are split into words once: training and scoring read a table of each text's classes, two bytes a token.
 """
 
 from __future__ import annotations
@@ -31,10 +33,11 @@ EDGE = TOP + SHARED  #: the class around a text
 REACH = 2  #: tokens to each side
 PLACES = [i for i in range(-REACH, REACH + 1) if i]
 WIDTH = 16  #: hidden units; the last one is always 1, so that a row's last number is its bias
-BATCH = 4096  #: tokens of a training step
+BATCH = 8192  #: tokens of a training step
 BLOCKS = 32  #: parts in which copies of the network are averaged
 FREQUENT = 100_000  #: words whose counts go to the tasks with the code; all others' are joined
-SLAB = 4_000_000
+SLAB = 4_000_000  #: bytes of text that a task codes at once
+CODED = 2_000_000  #: bytes of classes that a task trains on or scores at once
 REMEMBERED = 300_000  #: words whose codes a task keeps from slab to slab
 
 
@@ -84,23 +87,47 @@ def class_of(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < CLASSES, codes, TOP + (codes - CLASSES) % SHARED)
 
 
-def coded(texts: list[str], lookup: Lookup) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all texts' words with REACH times EDGE before each text and at the end, and each text's number of words."""
-    rows = []
-    for t in texts:
-        words = lower_words(t.encode("utf-8", "replace"))
-        rows.append(np.fromiter(map(lookup.__getitem__, words), np.int64, len(words)))
-    edge = np.full(REACH, EDGE)
-    return np.concatenate([x for r in rows for x in (edge, r)] + [edge]), np.array([len(r) for r in rows], np.int64)
+def coded(docs: DataFrame, top: dict[bytes, int], within: Shares) -> DataFrame:
+    """docs (doc_id, text) -> a table in the shared folder, a row for each of docs: row (its own number), doc_id, n_tokens,
+    classes (of its words, 16 bits each), share (the sum of its words' log shares, but for the counts that are to be
+    joined), words and times (the numbers of the words whose counts are to be joined, and how often it has each)."""
+    frequent, n_frequent, totals = within.frequent, within.n, within.totals
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(top)
+        for part, texts in text_slabs(batches, 2, SLAB):
+            if len(lookup) > len(top) + REMEMBERED:  # codes once found are kept while they are not too many
+                lookup = Lookup(top)
+            found = [lower_words(t.encode("utf-8", "replace")) for t in texts]
+            sizes = np.array([len(x) for x in found], np.int64)
+            codes = np.fromiter((c for x in found for c in map(lookup.__getitem__, x)), np.int64, int(sizes.sum()))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            others = np.flatnonzero(codes >= CLASSES)
+            h = codes[others] - CLASSES
+            k = np.searchsorted(frequent, h, "right") - 1
+            k = np.where(frequent[k] == h, k, 0)  # 0: in none
+            share = np.bincount(row[others], np.log(n_frequent[k] + 1) - np.log(totals[h % SHARED]), len(sizes))
+            words, place = np.unique(h[k == 0], return_inverse=True)
+            pairs, times = np.unique(row[others[k == 0]] * max(1, len(words)) + place, return_counts=True)
+            owner, place = np.divmod(pairs, max(1, len(words)))
+            lists = pa.array(np.searchsorted(owner, np.arange(len(sizes) + 1)), pa.int32())
+            ends = np.concatenate([[0], 2 * np.cumsum(sizes)]).astype(np.int32)
+            classes = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(class_of(codes).astype(np.uint16))])
+            columns = [part.column(0), part.column(1), pa.array(sizes), classes, pa.array(share, pa.float64()), pa.ListArray.from_arrays(lists, pa.array(words[place])), pa.ListArray.from_arrays(lists, pa.array(times))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "classes", "share", "words", "times"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "row long, doc_id long, n_tokens long, classes binary, share double, words array<long>, times array<long>"
+    return written(rows.mapInArrow(run, schema), "lm-codes")
 
 
-def coded_slabs(batches: Iterator[pa.RecordBatch], column: int, top: dict[bytes, int]) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray, np.ndarray]]:
-    """The batches in slabs: rows, texts, and what coded() gives; codes once found are kept while they are not too many."""
-    lookup = Lookup(top)
-    for part, texts in text_slabs(batches, column, SLAB):
-        if len(lookup) > len(top) + REMEMBERED:
-            lookup = Lookup(top)
-        yield part, texts, *coded(texts, lookup)
+def class_slabs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of coded()'s table, their classes with REACH times EDGE before each text and at the end, and the texts' numbers
+    of words."""
+    edge = np.full(REACH, EDGE, np.uint16)
+    for part, classes in text_slabs(batches, column, CODED):
+        rows = [np.frombuffer(x or b"", np.uint16) for x in classes]
+        yield part, np.concatenate([x for r in rows for x in (edge, r)] + [edge]), np.array([len(r) for r in rows], np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -128,21 +155,40 @@ def start(counts: np.ndarray, seed: int = 3) -> np.ndarray:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(1, keepdims=True))
-    return z / z.sum(1, keepdims=True)
+    """Of each row, in its place."""
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
+
+
+def log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row, at one place; z is overwritten."""
+    z -= z.max(1, keepdims=True)
+    got = z[np.arange(len(z)), at].astype(float)
+    return got - np.log(np.exp(z, out=z).sum(1))
 
 
 def hidden(net: np.ndarray, near: np.ndarray) -> np.ndarray:
     embeddings, _, _, bias = parts(net)
-    h = np.tanh(sum(e[near[:, j]] for j, e in enumerate(embeddings)) + bias)
+    h = embeddings[0][near[:, 0]]
+    for j in range(1, len(PLACES)):
+        h += embeddings[j][near[:, j]]
+    h += bias
+    np.tanh(h, out=h)
     h[:, -1] = 1
     return h
 
 
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Where each value of an ascending array stands first."""
+    return np.flatnonzero(np.concatenate([[len(x) > 0], x[1:] != x[:-1]])[: len(x)])
+
+
 def grouped(group: np.ndarray) -> list[tuple[int, slice]]:
     """Each group that occurs in an ascending array, and where."""
-    found, first = np.unique(group, return_index=True)
-    return [(g, slice(a, b)) for g, a, b in zip(found.tolist(), first, [*first[1:], len(group)], strict=True)]
+    first = firsts(group)
+    return [(g, slice(a, b)) for g, a, b in zip(group[first].tolist(), first, [*first[1:], len(group)], strict=True)]
 
 
 def by_target(near: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,11 +211,10 @@ def log_chances(net: np.ndarray, near: np.ndarray, target: np.ndarray) -> np.nda
         x, t, order = by_target(near[a : a + BATCH], target[a : a + BATCH])
         h = hidden(net, x)
         group, member = np.divmod(t, MEMBERS)
-        got = np.log(softmax(h @ groups.T)[np.arange(len(t)), group]).astype(float)
+        got = log_softmax(h @ groups.T, group)
         for g, i in grouped(group):
             rows = classes[g * MEMBERS : (g + 1) * MEMBERS]
-            chance = softmax(h[i] @ rows.T)
-            got[i] += np.log(chance[np.arange(len(chance)), member[i]])
+            got[i] += log_softmax(h[i] @ rows.T, member[i])
         out[a + order] = got
     return out
 
@@ -208,11 +253,12 @@ class Trainer:
         self.move(slice(len(self.net) - 1, None), back.sum(0, keepdims=True), len(h))
         for j in range(len(PLACES)):
             order = np.argsort(near[:, j].astype(np.uint16), kind="stable")
-            found, first = np.unique(near[order, j], return_index=True)
-            self.move(j * CLASSES + found, np.add.reduceat(back[order], first), np.diff(first, append=len(order)))
+            found = near[order, j]
+            first = firsts(found)
+            self.move(j * CLASSES + found[first].astype(np.int64), np.add.reduceat(back[order], first), np.diff(first, append=len(order)))
 
 
-def averaged(docs: DataFrame, top: dict[bytes, int], net: np.ndarray, rate: float) -> np.ndarray:
+def averaged(codes: DataFrame, net: np.ndarray, rate: float) -> np.ndarray:
     """One pass over all tokens: the mean of all tasks' copies, row by row, by how often each task met the row.
 
     A task emits the rows that it met, in blocks; a block's sums are added up in one task, batch by batch, and make one row. To
@@ -221,8 +267,7 @@ def averaged(docs: DataFrame, top: dict[bytes, int], net: np.ndarray, rate: floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, r = Trainer(net, rate), np.random.default_rng(5)
-        for *_, codes, _ in coded_slabs(batches, 0, top):
-            c = class_of(codes)
+        for _, c, _ in class_slabs(batches, 0):
             at, near = windows(c)
             order = r.permutation(len(at))
             for a in range(0, len(at), BATCH):
@@ -248,7 +293,7 @@ def averaged(docs: DataFrame, top: dict[bytes, int], net: np.ndarray, rate: floa
             yield packed(block, rows, total[rows])
 
     schema = "block int, rows binary, sums binary"
-    table = written(docs.select("text").mapInArrow(run, schema).repartition(BLOCKS, "block").mapInArrow(added, schema), "lm-network")
+    table = written(codes.select("classes").mapInArrow(run, schema).repartition(BLOCKS, "block").mapInArrow(added, schema), "lm-network")
     out = net.copy()
     for r in table.collect():
         sums = np.frombuffer(r["sums"], np.float32).reshape(-1, WIDTH + 1)
@@ -257,9 +302,9 @@ def averaged(docs: DataFrame, top: dict[bytes, int], net: np.ndarray, rate: floa
     return out
 
 
-def fit(docs: DataFrame, passes: int = 1, rate: float = 0.2) -> Model:
-    """Counts over all of docs and the network trained on all of docs. The counts of all words stay a table in the shared
-    folder; to the driver come TOP + FREQUENT words, SHARED sums and a network a pass at most, whatever the input."""
+def counted(docs: DataFrame) -> tuple[dict[bytes, int], Shares, np.ndarray]:
+    """The top words and their classes, all others' shares and the counts of classes, over all of docs. The counts of all
+    words stay a table in the shared folder; to the driver come TOP + FREQUENT words and SHARED sums at most."""
     h = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 15), 16, 10).cast("long")
     words = written(word_counts(docs).select("word", h.alias("h"), "n"), "lm-words")
     counts = np.zeros(CLASSES)
@@ -274,61 +319,49 @@ def fit(docs: DataFrame, passes: int = 1, rate: float = 0.2) -> Model:
     often = sorted((r.h, r.n) for r in others.select("h", "n").orderBy(F.desc("n"), "h").limit(FREQUENT).collect())
     frequent, n = np.array([(-1, 0), *often], np.int64).T
     counts[TOP:EDGE] = totals - 1
+    return top, Shares(others.select("h", "n"), frequent, n, totals), counts
+
+
+def trained(codes: DataFrame, counts: np.ndarray, passes: int = 1, rate: float = 0.2) -> np.ndarray:
+    """The network, trained on all of coded()'s table; a network a pass comes to the driver."""
     net = start(counts)
     for _ in range(passes):
-        net = averaged(docs, top, net, rate)
-    return Model(top, Shares(others.select("h", "n"), frequent, n, totals), net)
+        net = averaged(codes, net, rate)
+    return net
 
 
-def text_numbers(texts: list[str]) -> np.ndarray:
-    return np.array([number(t.encode("utf-8", "replace")) for t in texts], np.int64)
+def fit(docs: DataFrame, passes: int = 1, rate: float = 0.2) -> Model:
+    """The model of all of docs, to score these or others."""
+    top, within, counts = counted(docs)
+    codes = coded(docs.withColumn("doc_id", F.lit(0)), top, within)
+    net = trained(codes, counts, passes, rate)
+    forget(codes)
+    return Model(top, within, net)
 
 
 def scores(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_tokens, log_prob (sum), mean_log_prob: one row per input row, over whole texts.
 
     Null and empty texts have no tokens, log_prob 0 and mean_log_prob null. Repeated rows score alike. Empty tables give no
-    rows. Other columns are ignored. The table of the model's counts is read when the result is.
+    rows. Other columns are ignored. The tables of counts and of codes are read when the result is.
     """
-    model = model or fit(docs)
-    top, net, frequent, n_frequent, totals = model.top, model.net, model.within.frequent, model.within.n, model.within.totals
-
-    def placed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the words that are not top ones: where they stand, their numbers and their place in frequent, 0 if in none."""
-        at = np.flatnonzero(codes >= CLASSES)
-        h = codes[at] - CLASSES
-        k = np.searchsorted(frequent, h, "right") - 1
-        return at, h, np.where(frequent[k] == h, k, 0)
-
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All of a text's log-probability but the logs of the counts that are to be joined, and the number of those."""
-        for part, texts, codes, sizes in coded_slabs(batches, 1, top):
-            c = class_of(codes)
-            others, h, k = placed(codes)
-            each = np.zeros(len(codes))
-            each[others] = np.log(n_frequent[k] + 1) - np.log(totals[h % SHARED])
-            open_ = np.zeros(len(codes))
-            open_[others] = k == 0
+    if model:
+        net, within, codes = model.net, model.within, coded(docs, model.top, model.within)
+    else:
+        top, within, counts = counted(docs)
+        codes = coded(docs, top, within)
+        net = trained(codes, counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, c, sizes in class_slabs(batches, 4):
             at, near = windows(c)
-            each[at] += log_chances(net, near, c[at])
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            total, rest = np.bincount(row, each[at], len(sizes)), np.bincount(row, open_[at], len(sizes)).astype(np.int64)
-            key = pa.array(text_numbers(texts))
-            yield pa.RecordBatch.from_arrays([part.column(0), key, pa.array(sizes), pa.array(total), pa.array(rest)], ["doc_id", "key", "n_tokens", "total", "rest"])
-
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each text's words whose counts are to be joined, and how often it has them."""
-        for _, texts, codes, _ in coded_slabs(batches, 0, top):
-            at, h, k = placed(codes)
-            words, place = np.unique(h[k == 0], return_inverse=True)
-            row = np.cumsum(codes == EDGE)[at[k == 0]] // REACH - 1
-            pairs, n = np.unique(row * max(1, len(words)) + place, return_counts=True)
-            row, place = np.divmod(pairs, max(1, len(words)))
-            yield pa.RecordBatch.from_arrays([pa.array(text_numbers(texts)[row]), pa.array(words[place]), pa.array(n)], ["key", "h", "m"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(known, "doc_id long, key long, n_tokens long, total double, rest long")
-    joined = docs.select("text").mapInArrow(asked, "key long, h long, m long").join(model.within.counts, "h", "left")
-    # a mean, as a repeated text asks once for each copy
-    means = joined.groupBy("key").agg((F.sum(F.col("m") * F.log(F.coalesce("n", F.lit(0)) + 1.0)) / F.sum("m")).alias("mean"))
-    total = F.col("total") + F.coalesce(F.col("rest") * F.col("mean"), F.lit(0.0))
-    return rows.join(means, "key", "left").select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
+            chances = np.bincount(np.repeat(np.arange(len(sizes)), sizes), log_chances(net, near, c[at]), len(sizes))
+            total = pa.array(chances + part.column(3).to_numpy(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], total], ["row", "doc_id", "n_tokens", "total"])
+
+    rows = codes.select("row", "doc_id", "n_tokens", "share", "classes").mapInArrow(run, "row long, doc_id long, n_tokens long, total double")
+    asked = codes.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("h"), F.col("w.times").alias("m"))
+    log_count = F.log(F.coalesce("n", F.lit(0)) + 1.0)
+    rest = asked.join(within.counts, "h", "left").groupBy("row").agg(F.sum(F.col("m") * log_count).alias("rest"))
+    total = F.col("total") + F.coalesce("rest", F.lit(0.0))
+    return rows.join(rest, "row", "left").select("doc_id", "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("mean_log_prob"))
