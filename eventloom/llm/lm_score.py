@@ -83,6 +83,27 @@ class Lookup(dict):
         return code
 
 
+class Met(dict):
+    """word -> its place among the words met by a task, the top ones first; and what is known of each place's word."""
+
+    def __init__(self, top: dict[bytes, int]):
+        super().__init__(zip(top, range(len(top)), strict=True))
+        self.new, self.columns = list(top.values()), []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(CLASSES + number(word))
+        self[word] = place = len(self)
+        return place
+
+    def known(self, of_words) -> list[np.ndarray]:
+        """The columns that of_words gives for codes, by place."""
+        if self.new or not self.columns:
+            more = of_words(np.array(self.new, np.int64))
+            self.columns = [np.concatenate(x) for x in zip(self.columns, more, strict=True)] if self.columns else list(more)
+            self.new = []
+        return self.columns
+
+
 def class_of(codes: np.ndarray) -> np.ndarray:
     return np.where(codes < CLASSES, codes, TOP + (codes - CLASSES) % SHARED)
 
@@ -93,27 +114,35 @@ def coded(docs: DataFrame, top: dict[bytes, int], within: Shares) -> DataFrame:
     joined), words and times (the numbers of the words whose counts are to be joined, and how often it has each)."""
     frequent, n_frequent, totals = within.frequent, within.n, within.totals
 
+    def of_words(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words: classes, log shares, numbers, and whether their counts are to be joined."""
+        h = codes - CLASSES
+        k = np.searchsorted(frequent, h, "right") - 1
+        k = np.where(frequent[k] == h, k, 0)  # 0: in none
+        own = codes < CLASSES
+        return class_of(codes).astype(np.uint16), np.where(own, 0.0, np.log(n_frequent[k] + 1) - np.log(totals[h % SHARED])), h, ~own & (k == 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(top)
+        met = Met(top)
         for part, texts in text_slabs(batches, 2, SLAB):
-            if len(lookup) > len(top) + REMEMBERED:  # codes once found are kept while they are not too many
-                lookup = Lookup(top)
-            found = [lower_words(t.encode("utf-8", "replace")) for t in texts]
-            sizes = np.array([len(x) for x in found], np.int64)
-            codes = np.fromiter((c for x in found for c in map(lookup.__getitem__, x)), np.int64, int(sizes.sum()))
+            if len(met) > len(top) + REMEMBERED:  # words once met are kept while they are not too many
+                met = Met(top)
+            found, ends = [], [0]
+            for t in texts:
+                found += lower_words(t.encode("utf-8", "replace"))
+                ends.append(len(found))
+            at = np.fromiter(map(met.__getitem__, found), np.int32, len(found))
+            sizes = np.diff(ends)
             row = np.repeat(np.arange(len(sizes)), sizes)
-            others = np.flatnonzero(codes >= CLASSES)
-            h = codes[others] - CLASSES
-            k = np.searchsorted(frequent, h, "right") - 1
-            k = np.where(frequent[k] == h, k, 0)  # 0: in none
-            share = np.bincount(row[others], np.log(n_frequent[k] + 1) - np.log(totals[h % SHARED]), len(sizes))
-            words, place = np.unique(h[k == 0], return_inverse=True)
-            pairs, times = np.unique(row[others[k == 0]] * max(1, len(words)) + place, return_counts=True)
-            owner, place = np.divmod(pairs, max(1, len(words)))
+            classes, share, h, joined = met.known(of_words)
+            asked = np.flatnonzero(joined[at])
+            pairs, times = np.unique(row[asked] * len(h) + at[asked], return_counts=True)
+            owner, word = np.divmod(pairs, max(1, len(h)))
             lists = pa.array(np.searchsorted(owner, np.arange(len(sizes) + 1)), pa.int32())
-            ends = np.concatenate([[0], 2 * np.cumsum(sizes)]).astype(np.int32)
-            classes = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(class_of(codes).astype(np.uint16))])
-            columns = [part.column(0), part.column(1), pa.array(sizes), classes, pa.array(share, pa.float64()), pa.ListArray.from_arrays(lists, pa.array(words[place])), pa.ListArray.from_arrays(lists, pa.array(times))]
+            bounds = pa.py_buffer(2 * np.array(ends, np.int32))
+            coded_texts = pa.BinaryArray.from_buffers(pa.binary(), len(sizes), [None, bounds, pa.py_buffer(classes[at])])
+            shares = pa.array(np.bincount(row, share[at], len(sizes)), pa.float64())
+            columns = [part.column(0), part.column(1), pa.array(sizes), coded_texts, shares, pa.ListArray.from_arrays(lists, pa.array(h[word])), pa.ListArray.from_arrays(lists, pa.array(times))]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "n_tokens", "classes", "share", "words", "times"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -132,8 +161,10 @@ def class_slabs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tupl
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (A-Z lowered), n over all documents."""
-    trimmed = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES))
-    words = docs.select(F.explode(F.split(trimmed, r"[\x20\x09-\x0D]+")).alias("raw")).where("raw <> ''").groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
+    spaced = F.col("text")
+    for c in SPACES[1:]:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    words = docs.select(F.explode(F.split(spaced, " ")).alias("raw")).where("raw <> ''").groupBy("raw").agg(F.count(F.lit(1)).alias("n"))
     return words.select(F.translate("raw", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -155,15 +186,19 @@ def start(counts: np.ndarray, seed: int = 3) -> np.ndarray:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    """Of each row, in its place."""
-    z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    """Of each row."""
+    largest = z.max()
+    e = np.exp(z - largest)
+    sums = e @ np.ones(z.shape[1], z.dtype)
+    if sums.min() < 1e-30:  # a row is far below the largest number of all
+        e = np.exp(z - z.max(1, keepdims=True))
+        sums = e.sum(1)
+    e /= sums[:, None]
+    return e
 
 
 def log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Of each row, at one place; z is overwritten."""
+    """Of each row, at one place, whatever the other rows; z is overwritten."""
     z -= z.max(1, keepdims=True)
     got = z[np.arange(len(z)), at].astype(float)
     return got - np.log(np.exp(z, out=z).sum(1))
