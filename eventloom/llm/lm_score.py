@@ -34,6 +34,7 @@ REACH = 2  #: tokens to each side
 PLACES = [i for i in range(-REACH, REACH + 1) if i]
 WIDTH = 16  #: hidden units; the last one is always 1, so that a row's last number is its bias
 BATCH = 8192  #: tokens of a training step
+ROWS = 512  #: rows of a softmax at once, few enough for a core's cache
 BLOCKS = 32  #: parts in which copies of the network are averaged
 FREQUENT = 100_000  #: words whose counts go to the tasks with the code; all others' are joined
 SLAB = 4_000_000  #: bytes of text that a task codes at once
@@ -186,22 +187,28 @@ def start(counts: np.ndarray, seed: int = 3) -> np.ndarray:
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
-    """Of each row."""
-    largest = z.max()
-    e = np.exp(z - largest)
-    sums = e @ np.ones(z.shape[1], z.dtype)
-    if sums.min() < 1e-30:  # a row is far below the largest number of all
-        e = np.exp(z - z.max(1, keepdims=True))
-        sums = e.sum(1)
-    e /= sums[:, None]
-    return e
+    """Of each row, in its place."""
+    ones = np.ones(z.shape[1], z.dtype)
+    for a in range(0, len(z), ROWS):
+        x = z[a : a + ROWS]
+        e = np.exp(x - x.max())
+        sums = e @ ones
+        if sums.min() < 1e-30:  # a row is far below the largest number of all
+            e = np.exp(x - x.max(1, keepdims=True))
+            sums = e.sum(1)
+        np.divide(e, sums[:, None], out=x)
+    return z
 
 
 def log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Of each row, at one place, whatever the other rows; z is overwritten."""
-    z -= z.max(1, keepdims=True)
-    got = z[np.arange(len(z)), at].astype(float)
-    return got - np.log(np.exp(z, out=z).sum(1))
+    got = np.empty(len(z))
+    for a in range(0, len(z), ROWS):
+        x = z[a : a + ROWS]
+        x -= x.max(1, keepdims=True)
+        own = x[np.arange(len(x)), at[a : a + ROWS]]
+        got[a : a + ROWS] = own - np.log(np.exp(x, out=x).sum(1))
+    return got
 
 
 def hidden(net: np.ndarray, near: np.ndarray) -> np.ndarray:
