@@ -45,9 +45,14 @@ def alive_edges(spark, d):
     return G.edges_at(e.where("edge % 4 <> 0").select((F.col("edge") % 900).alias("edge"), "timestamp", "src", "dst"), e.where("edge % 4 = 0").select((F.col("edge") % 300).alias("edge"))).select("edge", "src", "dst")
 
 
+def ends(edges):
+    """All nodes of the edges, however many users there are."""
+    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+
+
 def domains(spark, d):
     e = user_edges(spark, d)
-    nodes = spark.range(150).select(F.col("id").alias("node"), F.concat(F.lit("d"), (F.col("id") % 6).cast("string")).alias("domain"))
+    nodes = ends(e).select("node", F.concat(F.lit("d"), (F.col("node") % 6).cast("string")).alias("domain"))
     return G.cross_domain(e, nodes)
 
 

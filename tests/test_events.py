@@ -135,6 +135,26 @@ def test_graph(spark):
     assert {r.community for r in graph.communities(e).collect()} <= {"A", "B", "C", "D", "E"}
 
 
+@pytest.fixture(scope="module")
+def many_users(spark, tmp_path_factory):
+    """A folder with events of more users than the smallest tables have."""
+    d = str(tmp_path_factory.mktemp("many"))
+    rows = [(i, T + dt.timedelta(minutes=i), i * 7 % 1200, ("signup", "click")[i % 2], 1.0, f'{{"k": {i % 90}}}') for i in range(1500)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{d}/events.parquet")
+    return d
+
+
+def test_domains_of_all_users(spark, many_users):
+    from collections import Counter
+
+    from eventloom.plans import catalog_graph
+
+    edges = catalog_graph.user_edges(spark, many_users).collect()
+    assert max(r.src for r in edges) > 1000
+    want = Counter(tuple(sorted((f"d{r.src % 6}", f"d{r.dst % 6}"))) for r in edges if r.src % 6 != r.dst % 6)
+    assert {(r.a, r.b): r.n for r in catalog_graph.domains(spark, many_users).collect()} == want
+
+
 def test_whole_graph_equals_brute_force(spark, small):
     """Queries over all events, against plain Python."""
     from collections import Counter, defaultdict
