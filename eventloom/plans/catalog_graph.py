@@ -57,8 +57,9 @@ def domains(spark, d):
 
 
 def merged(spark, d):
-    same = spark.range(0, 150, 10).select((F.col("id") + 1).alias("node"), F.col("id").alias("keep"))
-    return G.merged_nodes(user_edges(spark, d).select("edge", "src", "dst"), same)
+    e = user_edges(spark, d).select("edge", "src", "dst")
+    same = ends(e).where("node % 10 = 1").select("node", (F.col("node") - 1).alias("keep"))
+    return G.merged_nodes(e, same)
 
 
 def trade(spark, d):

@@ -155,6 +155,14 @@ def test_domains_of_all_users(spark, many_users):
     assert {(r.a, r.b): r.n for r in catalog_graph.domains(spark, many_users).collect()} == want
 
 
+def test_merges_of_all_users(spark, many_users):
+    from eventloom.plans import catalog_graph
+
+    keep = lambda x: x - 1 if x % 10 == 1 else x
+    want = sorted((r.edge, keep(r.src), keep(r.dst)) for r in catalog_graph.user_edges(spark, many_users).collect())
+    assert sorted((r.edge, r.src, r.dst) for r in catalog_graph.merged(spark, many_users).collect()) == want
+
+
 def test_whole_graph_equals_brute_force(spark, small):
     """Queries over all events, against plain Python."""
     from collections import Counter, defaultdict
