@@ -53,6 +53,14 @@ def stream_state(prints: DataFrame, path: str, most: int = 4_000_000_000) -> Dat
     return out
 
 
+def _texts(docs: DataFrame, hit: DataFrame, digest, salts: int) -> DataFrame:
+    """digest, salt, norm: the texts whose digests are in hit."""
+    norm = without_spaces(F.col("text"))
+    salted = hit.select("digest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    salt = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    return docs.select(digest(norm).alias("digest"), norm.alias("norm"), salt.alias("salt")).join(salted.hint("merge"), ["digest", "salt"])
+
+
 def exact_dedup(docs: DataFrame, digest=sha256, salts: int = 16) -> DataFrame:
     """docs (doc_id, text) -> doc_id, keep_id, group_size, kept, text_sha256: one row per input row.
 
@@ -71,13 +79,11 @@ def exact_dedup(docs: DataFrame, digest=sha256, salts: int = 16) -> DataFrame:
     slim = prints.select("digest", "row_")
     groups = stream_state(slim, path) if prints.limit(1).count() else _first(slim)
 
-    # hits: all texts of a digest with several rows, compared in full. Their digests are a table of its own, so that Spark knows
-    # its size and sends it to the texts where it is small; else digest and salt deal the texts, so no group meets in one task
+    # hits: all texts of a digest with several rows, compared in full; digest and salt deal the texts, so no group meets in one
+    # task. Both joins with the groups merge at any size: hits grow with the input, and the disk of a small run is that of a large
+    # one in proportion
     hit = written(groups.where("n_ > 1").select("digest"), "dedup-hits")
-    salted = hit.select("digest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    hits = docs.select(digest(norm).alias("digest"), norm.alias("norm"), F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(salts)).cast("int").alias("salt"))
-    hits = hits.join(salted, ["digest", "salt"])
-    ends = hits.groupBy("digest", "salt").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ends = _texts(docs, hit, digest, salts).groupBy("digest", "salt").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi")).groupBy("digest").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     clashes = written(ends.where("lo <> hi").select("digest"), "dedup-clashes")
     forget(hit)
 
@@ -87,7 +93,7 @@ def exact_dedup(docs: DataFrame, digest=sha256, salts: int = 16) -> DataFrame:
         texts = written(texts.join(clashes, "digest", "left_semi").withColumn("digest", F.concat_ws("/", "digest", "norm")).drop("norm"), "dedup-clash-rows")
         prints = prints.join(clashes, "digest", "left_anti").unionByName(texts)
         groups = groups.join(clashes, "digest", "left_anti").unionByName(_first(texts.select("digest", "row_")))
-    out = prints.join(groups, whole)
+    out = prints.join(groups.hint("merge"), whole)
     return out.select(
         F.col("row_.doc_id").alias("doc_id"),
         F.col("first_.doc_id").alias("keep_id"),

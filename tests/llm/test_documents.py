@@ -120,6 +120,15 @@ def test_exact_dedup_compares_texts_when_digests_collide(docs):
     check_dedup(exact_dedup.exact_dedup(docs, digest=lambda t: F.substring(F.sha2(t, 256), 1, 1)).collect())
 
 
+def test_exact_dedup_has_one_plan_at_all_sizes(spark, docs, tmp_path):
+    """Joins that broadcast on small tables and merge on large ones would make small runs tell nothing of large ones."""
+    docs.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")).write.parquet(f"{tmp_path}/hit")
+    texts = exact_dedup._texts(docs, spark.read.parquet(f"{tmp_path}/hit"), exact_dedup.sha256, 16)
+    for df in (texts, exact_dedup.exact_dedup(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_drop_copies(docs, none):
     out = exact_dedup.drop_copies(docs)
     assert out.columns == docs.columns and exact_dedup.drop_copies(none).count() == 0
