@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STEP = {"minute": "1 minute", "hour": "1 hour", "day": "1 day", "week": "7 days", "month": "1 month"}
@@ -104,11 +104,30 @@ def daily_usage(events: DataFrame, unit: str = "day") -> DataFrame:
     return events.groupBy("tenant_id", F.date_trunc(unit, "timestamp").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_trailing(events: DataFrame, seconds: int, keys: tuple[str, ...], **columns: Column) -> DataFrame:
+    """events with the sum of each of columns over the ``seconds`` up to each event, its own moment whole, in each key.
+
+    Time is cut into spans as long as the window, which so holds the own span up to the event and the end of the span before.
+    Each row stands in its own span and, later by the window's length, in the next one; both parts are then running sums, the
+    second one backwards. The work is that of a sort, however many events a window holds, and no sum is a difference.
+    """
+    length = seconds * 1_000_000
+    shifts = F.explode(F.array(*[F.lit(x).cast("long") for x in ([0, length] if length else [0])]))
+    rows = events.select("*", *[c.alias(f"{name}_") for name, c in columns.items()], shifts.alias("shift_")).withColumn("at_", F.unix_micros("timestamp") + F.col("shift_"))
+    rows = rows.where("shift_ = 0 OR at_ IS NOT NULL").withColumn("span_", F.col("at_") - F.pmod("at_", F.lit(length or 1)))
+    span = Window.partitionBy(*keys, "span_")
+    until, since = (span.orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow) for c in (F.col("at_"), F.col("at_").desc()))
+    for name in columns:
+        here = F.sum(F.when(F.col("shift_") == 0, F.col(f"{name}_"))).over(until)
+        before = F.sum(F.when(F.col("shift_") > 0, F.col(f"{name}_"))).over(since)
+        rows = rows.withColumn(f"{name}_here_", here).withColumn(f"{name}_before_", before)
+    total = {name: F.coalesce(F.col(f"{name}_here_") + F.col(f"{name}_before_"), f"{name}_here_", f"{name}_before_") for name in columns}
+    return rows.where("shift_ = 0").withColumns(total).select(*events.columns, *[c for c in columns if c not in events.columns])
+
+
 def anomalies(events: DataFrame, event_type: str, limit: int, seconds: int, keys: tuple[str, ...] = ("tenant_id", "entity_id")) -> DataFrame:
     """*keys, alerts, most: events of a type at which at least ``limit`` of them, itself included, lie in the ``seconds`` before."""
-    at = F.unix_micros("timestamp")
-    w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-seconds * 1_000_000, 0)
-    got = events.where(F.col("event_type") == event_type).withColumn("near", F.count(F.lit(1)).over(w))
+    got = with_trailing(events.where(F.col("event_type") == event_type), seconds, keys, near=F.lit(1).cast("long"))
     return got.where(F.col("near") >= limit).groupBy(*keys).agg(F.count(F.lit(1)).alias("alerts"), F.max("near").alias("most"))
 
 

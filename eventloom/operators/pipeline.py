@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators.analytics import with_trailing
 from eventloom.operators.filters import json_equal, json_path
 
 
@@ -119,8 +120,7 @@ def tumbling(events: DataFrame, size: str, slide: str | None = None, keys: tuple
 
 def trailing(events: DataFrame, seconds: int, keys: tuple[str, ...] = ("event_type",)) -> DataFrame:
     """events with n and total over the ``seconds`` up to each event, in each key."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_micros("timestamp")).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("total", F.sum("value").over(w))
+    return with_trailing(events, seconds, keys, n=F.lit(1).cast("long"), total=F.col("value"))
 
 
 def enriched(events: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
