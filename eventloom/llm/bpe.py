@@ -1,8 +1,9 @@
 """Byte-level BPE, encoding and decoding, by replay of the merges over a corpus.
 
-A task gathers the distinct words of a slab of documents. An inverted index from token pair to positions in those words
-is walked in rank order: each merge applies to all its places at once, and only the pairs with the merged tokens' new
-neighbours are indexed again. Documents are then rows of word numbers, and their ids a gather from the words' tokens.
+A task gathers the distinct words of a slab of documents that it has not met in slabs before. An inverted index from token
+pair to positions in those words is walked in rank order: each merge applies to all its places at once, and only the pairs
+with the merged tokens' new neighbours are indexed again. Documents are then rows of word numbers, and their ids a gather
+from the words' tokens. Known words are forgotten at a number of tokens, which changes no result.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import text_slabs
 
-#: Bytes of text whose words are replayed together.
-SLAB = 12_000_000
+#: Bytes of text whose new words are replayed together.
+SLAB = 2_000_000
+#: Tokens of known words at which a task forgets them all and begins anew.
+KNOWN = 1_000_000
 
 
 class Vocabulary:
@@ -80,7 +83,7 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     filled = size > 0
     after[starts[1:][filled] - 1] = -1
     before[starts[:-1][filled]] = -1
-    alive = np.ones(n, bool)
+    alive, marked = np.ones(n, bool), np.zeros(n, bool)
     index: dict[int, list[np.ndarray]] = {}
     queue: list[int] = []
 
@@ -110,9 +113,13 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
         places = places[vocabulary.merges(token[places], token[after[places]]) == rank]
         while len(places):
             # of places that overlap - the next token is a place too - the leftmost of each run goes first
-            inside = np.isin(after[places], places)
+            marked[places] = True
+            inside = marked[after[places]]
+            marked[places] = False
             if inside.any():
-                first = ~np.isin(places, after[places])
+                marked[after[places]] = True
+                first = ~marked[places]
+                marked[after[places]] = False
                 now, rest = places[first], places[~first]
             else:
                 now, rest = places, places[:0]
@@ -124,31 +131,63 @@ def replay(words: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
             linked = beyond >= 0
             before[beyond[linked]] = now[linked]
             left = before[now]
-            add(np.unique(np.concatenate([now, left[left >= 0]])))
+            left = left[left >= 0]
+            marked[now] = True
+            left = left[~marked[left]]
+            marked[now] = False
+            add(np.concatenate([now, left]))
+            if not len(rest):
+                break
             rest = rest[alive[rest] & (after[rest] >= 0)]
             places = rest[vocabulary.merges(token[rest], token[after[rest]]) == rank]
     kept = np.cumsum(np.concatenate([[0], alive]))
     return token[alive], kept[starts]
 
 
-class _Numbers(dict):
-    """word -> its number in order of first sight."""
+class Words(dict):
+    """word -> its number in order of first sight, and the tokens of all words whose merges are replayed."""
+
+    def __init__(self):
+        super().__init__()
+        self.tokens, self.starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.new: list[bytes] = []
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self)
+        self.new.append(word.encode("utf-8"))
         return number
 
+    def learn(self, vocabulary: Vocabulary) -> None:
+        """Replays the merges of the words met since the last time."""
+        if self.new:
+            tokens, starts = replay(self.new, vocabulary)
+            self.tokens, self.starts = np.concatenate([self.tokens, tokens.astype(np.int32)]), np.concatenate([self.starts, starts[1:] + self.starts[-1]])
+            self.new = []
+
 
-def encode(texts: list[str], vocabulary: Vocabulary, pattern: regex.Pattern) -> Iterator[np.ndarray]:
-    """The ids of every text."""
-    numbers = _Numbers()
-    rows = [np.fromiter(map(numbers.__getitem__, pattern.findall(t)), np.int64) for t in texts]
-    tokens, starts = replay([w.encode("utf-8") for w in numbers], vocabulary)
-    length = np.diff(starts)
+def encode(texts: list[str], vocabulary: Vocabulary, pattern: regex.Pattern, words: Words | None = None) -> Iterator[np.ndarray]:
+    """The ids of every text; words holds what is known from other texts and grows by the new ones."""
+    words = Words() if words is None else words
+    rows = [np.fromiter(map(words.__getitem__, pattern.findall(t)), np.int32) for t in texts]
+    words.learn(vocabulary)
+    length = np.diff(words.starts)
     for row in rows:
         n = length[row]
         ends = np.cumsum(n)
-        yield tokens[np.repeat(starts[:-1][row] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4")
+        yield words.tokens[np.repeat(words.starts[:-1][row] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4")
+
+
+def encode_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str, keep_ids: bool = False) -> Iterator[pa.RecordBatch]:
+    """encode_column() for one task's batches of doc_id and text."""
+    kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
+    vocabulary, matches, words = loaded(path), regex.compile(pattern), Words()
+    for part, texts in text_slabs(batches, 1, SLAB):
+        words = words if len(words.tokens) < KNOWN else Words()
+        out = []
+        for doc_id, row in zip(part.column(0).to_pylist(), encode(texts, vocabulary, matches, words), strict=True):
+            one = {"doc_id": doc_id, "n_tokens": len(row), "ids_sha256": hashlib.sha256(row.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(vocabulary.decode(row)).hexdigest()}
+            out.append(one | ({"ids": row.astype(np.int32)} if keep_ids else {}))
+        yield pa.RecordBatch.from_pylist(out, schema=kind)
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
@@ -159,16 +198,8 @@ def encode_column(docs: DataFrame, path: str, pattern: str, keep_ids: bool = Fal
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
-    kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, words = loaded(path), regex.compile(pattern)
-        for part, texts in text_slabs(batches, 1, SLAB):
-            out = []
-            for doc_id, row in zip(part.column(0).to_pylist(), encode(texts, vocabulary, words), strict=True):
-                one = {"doc_id": doc_id, "n_tokens": len(row), "ids_sha256": hashlib.sha256(row.tobytes()).hexdigest(), "decoded_sha256": hashlib.sha256(vocabulary.decode(row)).hexdigest()}
-                out.append(one | ({"ids": row.astype(np.int32)} if keep_ids else {}))
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
+        return encode_batches(batches, path, pattern, keep_ids)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(run, schema)
 

@@ -157,6 +157,32 @@ def test_quality_learns_and_scores_whole_texts(spark, small, docs, none):
 # byte-level BPE ----------------------------------------------------------------------------------------------------------
 
 
+def test_bpe_memory_is_bounded_by_the_slab(monkeypatch):
+    """Ids are the same however texts are cut into slabs and known words forgotten, and memory does not grow with the batch."""
+    import tracemalloc
+
+    import public_tokenizers as P
+    import pyarrow as pa
+
+    letters = str.maketrans("0123456789", "ghijklmnop")
+    texts = [" ".join(hashlib.md5(f"{i}:{j}".encode()).hexdigest()[:12] for j in range(40)).translate(letters) for i in range(9000)]
+    path = P.path("byte_bpe_50k.tiktoken")
+    bpe.loaded(path)
+
+    def run(texts):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+        return [r["ids_sha256"] for out in bpe.encode_batches(iter([batch]), path, P.PATTERN) for r in out.to_pylist()]
+
+    tracemalloc.start()
+    whole = run(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 4_000_000 and most < 250_000_000, most
+    monkeypatch.setattr(bpe, "SLAB", 5000)
+    monkeypatch.setattr(bpe, "KNOWN", 9000)
+    assert run(texts[:300]) == whole[:300]
+
+
 def test_bpe_equals_the_library(spark, docs, none):
     import public_tokenizers as P
     import tiktoken
