@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from eventloom.llm import bpe, exact_dedup, jaccard_join, mixing, quality
 from eventloom.llm.common import written
+from eventloom.shared import arrow_rows
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the token ids of each document."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.encode_column(docs, path, public_tokenizers.PATTERN, keep_ids=True)
+    with arrow_rows(spark, 1000):
+        return written(bpe.encode_column(docs, path, public_tokenizers.PATTERN, keep_ids=True), "pipeline-bpe")
 
 
 STAGES = [

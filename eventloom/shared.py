@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no spark.checkpoint.dir, as in local tests.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -34,6 +35,17 @@ def passing(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, kept)
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within, jobs hand at most so many rows to Python at once: both sides hold a whole batch in memory."""
+    kept = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, kept)
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark, path = df.sparkSession, new_path(df.sparkSession, what)

@@ -161,3 +161,14 @@ def test_vectors_of_every_length_link(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [
         (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True), (9, 0, 9, True),
     ]
+
+
+def test_pipeline_hands_bpe_few_rows_at_once(spark, small, monkeypatch):
+    import corpus_pipeline
+    from eventloom.shared import ARROW_ROWS
+
+    kept, seen, write = spark.conf.get(ARROW_ROWS), [], corpus_pipeline.written
+    monkeypatch.setattr(corpus_pipeline, "written", lambda df, what: seen.append(spark.conf.get(ARROW_ROWS)) or write(df, what))
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(50)
+    assert corpus_pipeline.encoded(spark, docs, small).count() == docs.count()
+    assert seen == ["1000"] and spark.conf.get(ARROW_ROWS) == kept
