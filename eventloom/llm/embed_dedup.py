@@ -4,8 +4,9 @@ An orthogonal rotation (eigenvectors of the second moments of all unit vectors)
 Vectors are cut into tiles along the first of them; only tiles whose ranges can hold a pair above the threshold meet. For a
 pair of tiles the products of the leading dimensions are accumulated, the rest is bounded by the product of the suffix
 norms (Cauchy-Schwarz), and pairs that cannot reach the threshold stop there; survivors go on with more dimensions and
-are decided by the cosine of the given components in double precision. A pair of tiles returns link counts and a spanning
-forest, never its pairs.
+are decided by the cosine of the given components in double precision. Tiles meet in a product of the table of tiles with
+itself, each task reading two parts of it, so that no vector is shuffled with a pair; a task returns link counts and a
+spanning forest, never its pairs.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import connected_components, forget, written
+from eventloom.shared import arrow_rows
 
 TILE = 4096  #: vectors by tile
 LEAD = (16, 32)  #: dimensions after which the bound is looked at
 SLACK = 1e-5  #: what single precision may add to a bound; larger than its error, so no link is lost
 BLOCK = 1 << 16  #: surviving pairs decided at once
+PAIRS = 8  #: pairs of tiles handed to Python at once
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -88,39 +91,45 @@ def tiles_of(good: DataFrame, axes: np.ndarray, tile: int, held: type) -> DataFr
         if n:
             yield out(pa.Table.from_batches(waiting))
 
-    placed = written(good.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(place, "vec_id long, x binary, at double"), "vectors")
+    rows = good.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(place, "vec_id long, x binary, at double")
+    placed = written(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     count = placed.count()
     parts = max(1, -(-count // tile))  # one tile or two by partition
-    ordered = placed.repartitionByRange(parts, "at").sortWithinPartitions("at") if parts > 1 else placed.coalesce(1).sortWithinPartitions("at")
-    out = written(ordered.mapInArrow(cut, "tile long, lo double, hi double, ids array<long>, xs binary"), "tiles")
+    # the row's number keeps equal vectors from sharing one partition
+    ordered = placed.repartitionByRange(parts, "at", "row").sortWithinPartitions("at") if parts > 1 else placed.coalesce(1).sortWithinPartitions("at")
+    out = written(ordered.select("vec_id", "x", "at").mapInArrow(cut, "tile long, lo double, hi double, ids array<long>, xs binary"), "tiles")
     forget(placed)
     return out
 
 
-def links(a: np.ndarray, b: np.ndarray, same: bool, axes: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of a and b with cosine >= threshold, in blocks; of one tile with itself, each pair once."""
-    ra, rb = unit_rows(a), unit_rows(b)
-    pa_, pb = ra @ axes, rb @ axes
-    dims = len(axes)
-    steps = [d for d in LEAD if d < dims]
+Side = tuple[np.ndarray, np.ndarray, list[np.ndarray]]
 
-    def with_rest(x: np.ndarray, d: int) -> np.ndarray:
-        """Leading dimensions and the norm of the rest: the product of two such rows bounds their cosine."""
-        return np.hstack([x[:, :d], np.sqrt(np.maximum(0, (x[:, d:] ** 2).sum(1)))[:, None]])
 
-    lead = steps[0] if steps else dims
-    xa, xb = with_rest(pa_, lead).astype(np.float32), with_rest(pb, lead).astype(np.float32)
-    more = [(with_rest(pa_, d), with_rest(pb, d)) for d in steps[1:]]
-    rows = max(1, (1 << 22) // max(1, len(b)))
-    for at in range(0, len(a), rows):
+def prepared(x: np.ndarray, axes: np.ndarray) -> Side:
+    """Unit rows of x, then their form for the first bound in single precision, and their forms for further bounds.
+
+    A form holds the leading dimensions on the axes and the norm of the rest: the product of two such rows bounds their cosine.
+    """
+    r = unit_rows(x)
+    p = r @ axes
+    steps = [d for d in LEAD if d < len(axes)] or [len(axes)]
+    forms = [np.hstack([p[:, :d], np.sqrt(np.maximum(0, (p[:, d:] ** 2).sum(1)))[:, None]]) for d in steps]
+    return r, forms[0].astype(np.float32), forms[1:]
+
+
+def links(a: Side, b: Side, same: bool, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of a and b with cosine >= threshold, in blocks; of one tile with itself, each pair once."""
+    (ra, xa, more_a), (rb, xb, more_b) = a, b
+    rows = max(1, (1 << 22) // max(1, len(rb)))
+    for at in range(0, len(ra), rows):
         bound = xa[at : at + rows] @ xb.T
-        i, j = np.nonzero(bound >= np.float32(threshold - SLACK))
+        i, j = np.divmod(np.flatnonzero(bound >= np.float32(threshold - SLACK)), len(rb))
         i += at
         if same:
             i, j = i[i < j], j[i < j]
         for k in range(0, len(i), BLOCK):
             p, q = i[k : k + BLOCK], j[k : k + BLOCK]
-            for ya, yb in more:
+            for ya, yb in zip(more_a, more_b, strict=True):
                 keep = np.einsum("nd,nd->n", ya[p], yb[q]) >= threshold - SLACK
                 p, q = p[keep], q[keep]
             keep = np.einsum("nd,nd->n", ra[p], rb[q]) >= threshold
@@ -172,35 +181,42 @@ def of_length(good: DataFrame, dims: int, held: type, threshold: float, tile: in
     axes = rotation(good, dims)
     tiles = tiles_of(good, axes, tile, held)
 
-    # tiles meet where their ranges, each widened by the farthest that linked unit vectors can be apart, share a cell
+    # tiles meet where their ranges are no farther apart than linked unit vectors can be
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK)
-    cells = F.explode(F.sequence(F.floor(F.col("lo") / reach), F.floor((F.col("hi") + reach) / reach)))
-    spans = tiles.select("tile", "lo", "hi").withColumn("cell", cells)
-    other = spans.select(F.col("tile").alias("tile2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), "cell")
-    pairs = spans.join(other, "cell").where("tile <= tile2").where((F.col("lo2") - F.col("hi") <= reach) & (F.col("lo") - F.col("hi2") <= reach)).select("tile", "tile2").distinct()
-    sides = pairs.join(tiles.select("tile", F.size("ids").alias("n"), F.col("xs")), "tile").join(
-        tiles.select(F.col("tile").alias("tile2"), F.size("ids").alias("n2"), F.col("xs").alias("xs2")), "tile2"
-    )
-    dealt = sides.repartition(F.col("tile"), F.col("tile2"))
+    sides = tiles.select("tile", "lo", "hi", "xs"), tiles.select(*[F.col(c).alias(c + "2") for c in ("tile", "lo", "hi", "xs")])
+    near = F.expr("tile <= tile2") & (F.col("lo2") - F.col("hi") <= reach) & (F.col("lo") - F.col("hi2") <= reach)
+    pairs = sides[0].hint("shuffle_replicate_nl").join(sides[1], near).select("tile", "tile2", "xs", "xs2")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin: dict[int, int] = {}  # a tile's first place in what follows, for the tiles that the task meets
+        node, count, label = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        last, left = None, None
         for batch in batches:
             for r in range(batch.num_rows):
-                t1, t2, n1, n2, x1, x2 = (batch.column(c)[r].as_py() for c in ("tile", "tile2", "n", "n2", "xs", "xs2"))
-                a, b = np.frombuffer(x1, held).reshape(n1, dims), np.frombuffer(x2, held).reshape(n2, dims)
+                t1, t2, x1, x2 = (batch.column(c)[r].as_py() for c in range(4))
                 same = t1 == t2
-                size = n1 if same else n1 + n2
-                count, label = np.zeros(size, np.int64), np.arange(size)
-                for i, j in links(a, b, same, axes, threshold):
-                    j = j if same else j + n1
-                    count += np.bincount(i, minlength=size) + np.bincount(j, minlength=size)
-                    merge_labels(label, i, j)
-                node = (t1 << 20) + np.arange(n1)
-                node = node if same else np.concatenate([node, (t2 << 20) + np.arange(n2)])
-                hit = np.flatnonzero(count)
-                yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(count[hit]), pa.array(node[label[hit]])], ["node", "n", "root"])
-
-    found = written(dealt.mapInArrow(compare, "node long, n long, root long"), "links")
+                if t1 != last:  # a product keeps its left row for all right ones
+                    last, left = t1, prepared(np.frombuffer(x1, held).reshape(-1, dims), axes)
+                right = left if same else prepared(np.frombuffer(x2, held).reshape(-1, dims), axes)
+                ends = [(t1, len(left[0]))] if same else [(t1, len(left[0])), (t2, len(right[0]))]
+                for t, n in ends:
+                    if t not in begin:
+                        begin[t] = len(node)
+                        node, count, label = np.append(node, (t << 20) + np.arange(n)), np.append(count, np.zeros(n, np.int64)), np.append(label, len(label) + np.arange(n))
+                place = np.concatenate([begin[t] + np.arange(n) for t, n in ends])
+                own = np.arange(len(place))
+                for i, j in links(left, right, same, threshold):
+                    j = j if same else j + ends[0][1]
+                    count[place] += np.bincount(i, minlength=len(place)) + np.bincount(j, minlength=len(place))
+                    merge_labels(own, i, j)
+                hit = np.flatnonzero(own != np.arange(len(own)))
+                if len(hit):
+                    merge_labels(label, place[hit], place[own[hit]])
+        hit = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(count[hit]), pa.array(node[label[hit]])], ["node", "n", "root"])
+
+    with arrow_rows(good.sparkSession, PAIRS):
+        found = written(pairs.mapInArrow(compare, "node long, n long, root long"), "links")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     trees = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
 

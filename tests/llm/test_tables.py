@@ -172,3 +172,22 @@ def test_pipeline_hands_bpe_few_rows_at_once(spark, small, monkeypatch):
     docs = spark.read.parquet(f"{small}/documents.parquet").limit(50)
     assert corpus_pipeline.encoded(spark, docs, small).count() == docs.count()
     assert seen == ["1000"] and spark.conf.get(ARROW_ROWS) == kept
+
+
+def test_tiles_meet_without_a_shuffle(spark, monkeypatch):
+    plans, write = {}, embed_dedup.written
+
+    def seen(df, what):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, what)
+
+    monkeypatch.setattr(embed_dedup, "written", seen)
+    r = np.random.default_rng(5)
+    base = r.standard_normal((6, 8))
+    x = [list(map(float, b + r.standard_normal(8) * 0.05)) for b in base for _ in range(30)] + [[1.0] * 8] * 60
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>").repartition(3)
+    got = {q.vec_id: q for q in embed_dedup.near_duplicates(df, 0.95, 8).collect()}
+    n, root = brute_links(x, 0.95)
+    assert [got[i].n_links for i in range(len(x))] == n and [got[i].component_id for i in range(len(x))] == root
+    assert "Exchange" not in plans["links"] and "CartesianProduct" in plans["links"]  # a shuffle would hold both tiles of each pair
+    assert "row#" in plans["tiles"].split("rangepartitioning(", 1)[1].split(")")[0]  # equal vectors are dealt over partitions
